@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of text that one numpy step works on.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,23 +61,24 @@ def crc_bucket(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(modulus))
 
 
-def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
-    """UTF-8 bytes of every text; null is empty."""
-    return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+def texts_of(column: pa.Array) -> list[bytes]:
+    """The bytes of every text; null is empty."""
+    return [b"" if x is None else x for x in column.to_pylist()]
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about ``limit`` bytes of text each, and their texts. One longer text comes alone, whole."""
     for batch in batches:
-        texts = texts_of(batch.column(batch.schema.get_field_index(column)))
+        texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
         start = size = 0
-        for i, text in enumerate(texts):
-            if size and size + len(text) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, length in enumerate(pc.binary_length(texts).to_pylist()):
+            length = length or 0
+            if size and size + length > limit:
+                yield batch.slice(start, i - start), texts_of(texts.slice(start, i - start))
                 start, size = i, 0
-            size += len(text)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+            size += length
+        if start < batch.num_rows:
+            yield batch.slice(start), texts_of(texts.slice(start))
 
 
 class WordHashes(dict):

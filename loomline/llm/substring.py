@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from loomline.llm.common import BASES, SpanHasher, WordHashes, chunks, hashed_words, mixed, signed, stash, text_key
 
 ROUNDS = 4
+#: Bytes of text that are parsed at once; the parse keeps some hundred bytes for each word.
+PARSE_BYTES = 3 << 19
 
 
 class Level:
@@ -143,7 +145,7 @@ def _least(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _segments(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
-    for batch, texts in chunks(batches, "text"):
+    for batch, texts in chunks(batches, "text", PARSE_BYTES):
         words, ends = hashed_words(texts, known)
         levels = [first_level(words, ends)]
         for k in range(ROUNDS):
@@ -176,7 +178,7 @@ def _segments(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
 def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """The words' hash of every window of the listed segments."""
     known = WordHashes()
-    for batch, texts in chunks(batches, "text"):
+    for batch, texts in chunks(batches, "text", PARSE_BYTES):
         words, ends = hashed_words(texts, known)
         spans = batch.column(3)
         lists = np.repeat(np.arange(len(texts)), np.diff(spans.offsets.to_numpy()))
