@@ -28,7 +28,9 @@ from loomline.llm.common import BASES, WordHashes, chunks, components, drop_stas
 SHINGLE = 5
 BANDS, ROWS = 64, 8
 #: Shingles of one block of a candidate cluster; a task holds at most two blocks.
-BLOCK = 400_000
+BLOCK = 40_000
+#: Steps of the permutations that are traced through the swaps; for later ones, which only short texts need, permutations are kept.
+TRACED = 16
 
 
 def shingle_sets(texts: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +48,8 @@ def shingle_sets(texts: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.
     for k in range(SHINGLE):
         step = mixed(padded[at + k] + np.uint64(BASES[k % 3] * (k + 1) & (2**64 - 1)))
         value = np.where(k < size, mixed(value * np.uint64(BASES[0]) + step), value)
-    order = np.lexsort((value, doc))
+    # by text, then by the value's leading bits: equal values of a text become neighbours
+    order = np.argsort((doc.astype(np.uint64) << np.uint64(44)) | (value >> np.uint64(20)))
     value, doc = value[order], doc[order]
     keep = np.ones(len(doc), bool)
     keep[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
@@ -59,34 +62,36 @@ def superminhash(value: np.ndarray, begins: np.ndarray, slots: int) -> np.ndarra
     n = len(begins) - 1
     held = np.full(n * slots, np.inf, np.float32)
     doc = np.repeat(np.arange(n), np.diff(begins))
-    state = value.copy()
-    perm = None
+    state, swaps, perm = value.copy(), [], None
     for k in range(slots):
         if not len(doc):
             break
         state = mixed(state + np.uint64(0x9E3779B97F4A7C15))
         u = (state >> np.uint64(40)).astype(np.float32) * np.float32(2**-24)
-        # the step's place in the rest of the permutation (Fisher-Yates)
-        j = k + ((state & np.uint64(0xFFFFFFFF)) * np.uint64(slots - k) >> np.uint64(32)).astype(np.int64)
-        if k == 0:
-            slot = j
+        # Fisher-Yates: step k swaps place k with a random place j from k on
+        j = (((state & np.uint64(0xFFFFFFFF)) * np.uint64(slots - k) >> np.uint64(32)).astype(np.int16) + np.int16(k)).astype(np.int16)
+        if k < TRACED:
+            slot = j.copy()  # follow the place back through the few swaps so far
+            for i in range(k - 1, -1, -1):
+                slot[slot == swaps[i]] = i
+            swaps.append(j)
         else:
+            at = np.arange(len(doc))
             if perm is None:
                 perm = np.tile(np.arange(slots, dtype=np.int16), (len(doc), 1))
-                i = np.arange(len(doc))
-                perm[i, 0], perm[i, first] = first, 0
-            i = np.arange(len(doc))
-            slot = perm[i, j].astype(np.int64)
-            perm[i, j] = perm[i, k]
-            perm[i, k] = slot
+                for i, s in enumerate(swaps):
+                    old = perm[at, s]
+                    perm[at, s] = perm[:, i]
+                    perm[:, i] = old
+            slot = perm[at, j]
+            perm[at, j] = perm[:, k]
+            perm[:, k] = slot
         np.minimum.at(held, doc * slots + slot, u + np.float32(k))
-        most = held.reshape(n, slots).max(1)
-        live = (most >= k + 1)[doc]
-        if k == 0:
-            first = j[live].astype(np.int16)
-        elif not live.all():
-            perm = perm[live]
-        doc, state = doc[live], state[live]
+        if k % 4 == 3 or k < 2:
+            live = (held.reshape(n, slots).max(1) >= k + 1)[doc]
+            if not live.all():
+                doc, state, swaps = doc[live], state[live], [s[live] for s in swaps]
+                perm = None if perm is None else perm[live]
     return held.reshape(n, slots)
 
 
@@ -140,9 +145,16 @@ def similar_pairs(value: np.ndarray, begins: np.ndarray, threshold: int, part: n
         return np.empty(0, np.int64), np.empty(0, np.int64)
     _, column = np.unique(column[keep], return_inverse=True)
     doc = doc[keep]
+    # elements of exactly the same sets count together
+    held = np.zeros(int(column.max()) + 1, np.uint64)
+    np.add.at(held, column, mixed(doc.astype(np.uint64) + np.uint64(1)))
+    _, one, same, weight = np.unique(held, return_index=True, return_inverse=True, return_counts=True)
+    first = np.zeros(len(held), bool)
+    first[one] = True
+    doc, column = doc[first[column]], same[column[first[column]]]
     order = np.argsort(column, kind="stable")
     column, doc = column[order], doc[order]
-    width = max(256, (8 << 20) // max(1, n))
+    width = min(len(weight), max(256, (8 << 20) // max(1, n)))
     out_a, out_b = [], []
     for start in range(0, n, 512):
         stop = min(n, start + 512)
@@ -154,9 +166,9 @@ def similar_pairs(value: np.ndarray, begins: np.ndarray, threshold: int, part: n
             d, e = d[late] - start, e[late]
             if not (d < stop - start).any():
                 continue
-            m = np.zeros((n - start, width), np.float32)
+            m = np.zeros((n - start, min(width, len(weight) - c)), np.float32)
             m[d, e] = 1
-            common += m[: stop - start] @ m.T
+            common += (m[: stop - start] * weight[c : c + width].astype(np.float32)) @ m.T
         union = size[start:stop, None] + size[None, start:] - common
         linked = (100 * common.astype(np.float64) >= threshold * union) & (common > 0)
         if part is not None:
