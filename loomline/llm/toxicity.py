@@ -30,6 +30,8 @@ HIDDEN, DIM = 8, 16
 WORD_ROWS, GRAM_ROWS = 1 << 14, 1 << 13
 EPOCHS, BATCH, RATE = 3, 64, 0.05
 SEED = 5
+#: Different sampled texts that must hold a word before it gets a vector.
+MIN_TEXTS = 8
 THRESHOLD = 0.5
 _EDGE = b"\x22'()[]{}<>.,;:!?*#$%&|-_~"
 
@@ -213,6 +215,13 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Network:
     vocabulary = Vocabulary()
     numbers = [vocabulary.numbers(t) for t in texts]
     rows, grams, begins = vocabulary.inputs()
+    # rare words would be learned by heart: only words of some different texts get vectors of their own
+    spread, seen = np.zeros(WORD_ROWS, np.int64), set()
+    for text, n in zip(texts, numbers):
+        if text not in seen:
+            seen.add(text)
+            spread[np.unique(rows[n])] += 1
+    common = spread >= MIN_TEXTS
     owner, start = [], []
     for i, n in enumerate(numbers):
         s = windows_of(len(n))
@@ -228,10 +237,11 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Network:
             logits = _window_logits(net, numbers, owner, start, rows, grams, begins)
             top = np.full(len(texts), -np.inf)
             np.maximum.at(top, owner, logits)
-            use = use[(label == 0) | (logits >= top[owner]) | (logits > 0)]
-        pos, neg = use[label[use] == 1], use[label[use] == 0]
-        neg = rng.permutation(neg)[: max(1, 3 * len(pos))]
-        use = rng.permutation(np.concatenate([pos, neg]))
+            # of each text the highest window, and of clean ones some others
+            use = use[(logits >= top[owner]) | ((label == 0) & (rng.random(len(label)) < 0.15))]
+        else:
+            use = use[(label == 1) | (rng.random(len(label)) < 0.3)]
+        use = rng.permutation(use)
         for i in range(0, len(use), BATCH):
             b = use[i : i + BATCH]
             ids, mask = _batch(numbers, owner[b], start[b])
@@ -243,7 +253,8 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Network:
             g, dx = net.gradients(x[place], mask, label[b])
             dk = np.zeros_like(x)
             np.add.at(dk, place.ravel(), (dx * mask[:, :, None]).reshape(-1, DIM))
-            for name, at, grad in (("word", rows[kinds], dk), ("gram", own, np.repeat(dk / np.maximum(count, 1)[:, None], count, axis=0))):
+            known = common[rows[kinds]]
+            for name, at, grad in (("word", rows[kinds][known], dk[known]), ("gram", own, np.repeat(dk / np.maximum(count, 1)[:, None], count, axis=0))):
                 k, where = np.unique(at, return_inverse=True)
                 total = np.zeros((len(k), DIM), np.float32)
                 np.add.at(total, where, grad)
