@@ -39,37 +39,57 @@ def targets(sources: DataFrame, cap: int = CAP) -> DataFrame:
     return x.withColumn("target", F.when(share >= capped, capped).otherwise(share)).drop("level", "water")
 
 
-def mix(docs: DataFrame, cap: int = CAP, seed: int = 7, weights: Column | None = None) -> DataFrame:
-    """How many words of each document the mix takes: ``doc_id, source, size, source_size, target, repeats, taken``.
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), seeded_order(F.col("doc_id").cast("long"), seed).alias("rank"))
 
-    ``docs`` needs ``doc_id``, ``text`` and ``source``. Size is the number of words; null or blank texts
-    have size 0 and take nothing. ``weights`` is an expression over ``place``, the
-    source's place from 0 in code point order with null last; the default is 1, 2, 3, repeating. Rows
-    with the same id share their place in the seeded order. An empty table gives an empty table.
-    """
+
+def plan(sized: DataFrame, cap: int = CAP, weights: Column | None = None) -> DataFrame:
+    """One row per source: ``p_source, source_size, target, whole`` and ``stop``, the last place of the seeded order that counts once more."""
     weights = F.col("place") % 3 + 1 if weights is None else weights
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    base = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), seeded_order(F.col("doc_id"), seed).alias("rank")))
-    base = base.withColumn("bin", F.substring("rank", 1, BIN_DIGITS))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    base = sized.withColumn("bin", F.substring("rank", 1, BIN_DIGITS))
     bins = stash(base.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")))
     named = bins.groupBy("source").agg(F.sum("bin_size").alias("source_size"))
     placed = named.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    plan = targets(placed.withColumn("weight", weights.cast("long")).select("source", "source_size", "weight"), cap)
-    plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    plan = stash(plan.withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")))
-    # the bin in which the fraction's words end
+    goals = targets(placed.withColumn("weight", weights.cast("long")).select("source", "source_size", "weight"), cap)
+    goals = goals.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    goals = stash(goals.withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "p_source"))
+    # the bin in which the fraction's words end, and in it the document
     upto = F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin"))
-    cuts = bins.withColumn("upto", upto).join(plan.select(F.col("source").alias("s"), "extra"), F.col("source").eqNullSafe(F.col("s")))
+    cuts = bins.withColumn("upto", upto).join(goals, same("source", "p_source"))
     edge = cuts.where((F.col("upto") > F.col("extra")) & (F.col("upto") - F.col("bin_size") <= F.col("extra")))
-    edge = stash(edge.select(F.col("source").alias("e_source"), F.col("bin").alias("e_bin"), (F.col("upto") - F.col("bin_size")).alias("e_before")))
-    x = base.join(edge, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bin") == F.col("e_bin")))
+    edge = stash(edge.select(F.col("source").alias("e_source"), F.col("bin").alias("e_bin"), (F.col("upto") - F.col("bin_size")).alias("e_before"), "extra"))
+    x = base.join(edge, same("source", "e_source") & (F.col("bin") == F.col("e_bin")))
     run = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id")) + F.col("e_before")
-    x = x.withColumn("run", run).join(plan.select(F.col("source").alias("s"), "extra"), F.col("source").eqNullSafe(F.col("s")))
-    # the document that the fraction ends in counts if that comes nearer
-    last = x.where(F.col("run") - F.col("size") / 2 <= F.col("extra")).groupBy("e_source", "e_bin").agg(F.max("rank").alias("e_rank"))
-    stops = edge.join(last.select(F.col("e_source").alias("l"), "e_rank"), F.col("e_source").eqNullSafe(F.col("l")), "left").select("e_source", F.coalesce("e_rank", "e_bin").alias("e_rank"))
-    plan = plan.join(stops, F.col("source").eqNullSafe(F.col("e_source")), "left").select(F.col("source").alias("p_source"), "source_size", "target", "whole", F.coalesce("e_rank", F.lit("g")).alias("stop"))
-    out = base.join(stash(plan), F.col("source").eqNullSafe(F.col("p_source")))
-    repeats = F.col("whole") + F.when((F.col("rank") <= F.col("stop")) & (F.col("stop") != "g"), 1).otherwise(0)
-    repeats = F.when(F.col("whole") >= cap, F.col("whole")).otherwise(repeats)
-    return out.select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"))
+    # a document in which the fraction ends counts if that comes nearer
+    last = x.withColumn("run", run).where(F.col("run") - F.col("size") / 2 <= F.col("extra")).groupBy(F.col("e_source").alias("l_source")).agg(F.max("rank").alias("l_rank"))
+    stops = edge.join(last, same("e_source", "l_source"), "left").select("e_source", F.coalesce("l_rank", "e_bin").alias("stop"))
+    return stash(goals.join(stops, same("p_source", "e_source"), "left").select("p_source", "source_size", "target", "whole", F.when(F.col("whole") < cap, F.col("stop")).alias("stop")))
+
+
+def repeats(rank: Column) -> Column:
+    """How often a document at ``rank`` is taken, next to its source's row of the plan."""
+    return (F.col("whole") + F.coalesce(rank <= F.col("stop"), F.lit(False)).cast("long")).cast("long")
+
+
+def mix(docs: DataFrame, cap: int = CAP, seed: int = 7, weights: Column | None = None) -> DataFrame:
+    """How many words of each document the mix takes: ``doc_id, source, size, source_size, target, repeats, taken``.
+
+    ``docs`` needs ``doc_id``, ``text`` and ``source``; other columns are ignored. Size is the number of words; null or blank texts
+    have size 0 and take nothing. ``weights`` is an expression over ``place``, the
+    source's place from 0 in code point order with null last; the default is 1, 2, 3, repeating. Rows
+    with the same id share their place in the seeded order. An empty table gives an empty table.
+    """
+    sized = stash(_sized(docs, seed))
+    out = sized.join(plan(sized, cap, weights), F.col("source").eqNullSafe(F.col("p_source"))).withColumn("repeats", repeats(F.col("rank")))
+    return out.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+def draw(docs: DataFrame, cap: int = CAP, seed: int = 7) -> DataFrame:
+    """The mix itself: every row of ``docs``, with all its columns, as often as the mix takes it."""
+    goals = plan(stash(_sized(docs, seed)), cap).select("p_source", "whole", "stop")
+    rank = seeded_order(docs["doc_id"].cast("long"), seed)
+    held = docs.select(F.struct(*docs.columns).alias("row"), docs["source"].alias("r_source"), rank.alias("r_rank"))
+    taken = held.join(goals, F.col("r_source").eqNullSafe(F.col("p_source"))).withColumn("n", repeats(F.col("r_rank"))).where("n > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")).select("row.*")

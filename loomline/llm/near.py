@@ -223,3 +223,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     out = signed_docs.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, threshold: int = 75) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of the document that each group keeps."""
+    kept = near_duplicates(docs, threshold).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")

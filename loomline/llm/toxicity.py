@@ -332,3 +332,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = base.mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", (crc_bucket(F.col("doc_id"), MODULUS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below the threshold. Each text is scored where it lies."""
+    net = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches, "text"):
+            yield batch.filter(pa.array(net.value.score(texts) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
