@@ -1,20 +1,23 @@
 """Exact deduplication by content sort, in DataFrame operations only.
 
 Normalised texts are range-partitioned on sampled splitters and sorted in each partition, so
-equal texts stand next to each other and whole-text comparison of neighbours finds them. A
-salt after the text in the sort key spreads one text with very many copies over many
+equal texts stand next to each other and whole-text comparison of neighbours finds them. Splitters
+are the first characters and a hash of a text, so what the driver samples is small however long
+the texts are. A salt spreads one text with very many copies over many
 partitions; such a text yields one short row per salt, and these are combined by digest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.llm.common import ascii_lower, stash
 
 #: Places that the copies of one text are spread over.
 SALTS = 64
+#: Characters of a text in the splitters.
+HEAD = 32
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -27,10 +30,16 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(text).alias("norm"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    # equal (norm, salt) become neighbours; the aggregation runs over the sorted range as it lies
-    laid = base.repartitionByRange("norm", "salt").sortWithinPartitions("norm", "salt")
-    forms = laid.groupBy("norm", "salt").agg(F.max("doc_id").alias("last"), F.count("*").alias("n"))
-    forms = stash(forms.select(F.sha2("norm", 256).alias("text_sha256"), "salt", "last", "n"))
+    keyed = base.select("doc_id", "norm", "salt", F.substring("norm", 1, HEAD).alias("head"), F.xxhash64("norm").alias("mark"))
+    laid = keyed.repartitionByRange("head", "mark", "salt")
+    # the window sorts each range as it lies; each text is compared with the one before and the one after it
+    beside = Window.partitionBy("head", "mark", "salt").orderBy("norm", "doc_id")
+    starts = ~F.lag("norm").over(beside).eqNullSafe(F.col("norm"))
+    ends = ~F.lead("norm").over(beside).eqNullSafe(F.col("norm"))
+    runs = laid.withColumns({"place": F.row_number().over(beside), "starts": starts, "ends": ends}).where("starts or ends")
+    size = F.col("place") + 1 - F.when(F.col("starts"), F.col("place")).otherwise(F.lag("place").over(beside))
+    runs = runs.withColumn("n", size.cast("long")).where("ends")
+    forms = stash(runs.select(F.sha2("norm", 256).alias("text_sha256"), "salt", F.col("doc_id").alias("last"), "n"))
     groups = forms.groupBy("text_sha256").agg(F.max("last").alias("keep_id"), F.sum("n").alias("group_size"))
     keys = stash(forms.select("text_sha256", "salt").join(groups, "text_sha256"))
     rows = base.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), "salt")
