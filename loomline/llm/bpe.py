@@ -3,8 +3,8 @@
 Each task cuts its texts into pre-tokens and notes, block by block, the distinct ones with a
 block-local number and every text's sequence of numbers (the positions). The distinct words of all blocks
 meet in one shuffle by word, where each is encoded once; its ids go back to the
-blocks that asked, and each block reassembles its texts by position. Texts and
-positions cross the network once, as compressed numbers; a word crosses once per block, not once per
+blocks that asked, and each block reassembles its texts by position. Positions
+cross the network once, as compressed numbers; a word crosses once per block, not once per
 occurrence, which also keeps frequent words from making a hot partition.
 
 Decoding joins ids with the table of token bytes. That table is bounded by the
@@ -14,21 +14,24 @@ vocabulary, so every task holds it and the join is a lookup.
 from __future__ import annotations
 
 import base64
-import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import chunks, stash
+from loomline.llm.common import BASES, SpanHasher, chunks, mixed, stash
 
 #: Bytes of text in one block.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
+#: Distinct words whose ids a task remembers.
+REMEMBERED = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,78 +40,181 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def unassigned() -> re.Pattern[str]:
-    """Code points without a category in this interpreter's Unicode tables. On newer ones the pattern engines may
-    disagree, so texts with such a character are not cut here but encoded whole by the library."""
-    spans, start = [], None
-    for c in range(0x110001):
-        free = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
-        if free and start is None:
-            start = c
-        elif not free and start is not None:
-            spans.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return re.compile("[" + "".join(spans) + "]")
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, words: bool) -> Iterator[pa.RecordBatch]:
-    """Per block, the distinct pre-tokens with their numbers, or per text the numbers in order."""
-    import regex
-
-    findall, newer = regex.compile(pattern).findall, unassigned()
-
-    def find(text: str) -> list[str]:
-        return findall(text) if text.isascii() or not newer.search(text) else [text]
-
-    base = TaskContext.get().partitionId() << 32
+#: The pre-token pattern that has a vectorised form here; texts are cut by any other with the regex library.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SPACE, _LETTER, _NUMBER, _OTHER, _FREE = range(5)
+# The characters with the White_Space property.
+_WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+
+
+@cache
+def classes() -> np.ndarray:
+    """The pattern's class of every code point. Those without a category in this interpreter's Unicode tables are _FREE: on newer
+    ones pattern engines may disagree, so texts with such a character are not cut here but encoded whole by the library."""
+    kinds = {"L": _LETTER, "N": _NUMBER}
+    out = np.fromiter((_FREE if (k := unicodedata.category(chr(c))) == "Cn" else kinds.get(k[0], _OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    out[_WHITE] = _SPACE
+    return out
+
+
+def cut(codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Which code points begin a pre-token of PATTERN; ``begins`` has the first code point of each text, and the total."""
+    n = len(codes)
+    kind = classes()[codes]
+    new = np.zeros(n + 1, bool)
+    new[begins] = True
+    starts = new[:n].copy()
+    starts[1:] |= kind[1:] != kind[:-1]
+    last = np.zeros(n, bool)  # white space before something else in the same text
+    last[:-1] = (kind[:-1] == _SPACE) & (kind[1:] != _SPACE) & ~new[1:n]
+    starts |= last
+    joins = np.flatnonzero(last & (codes == 0x20)) + 1  # a space belongs to what follows
+    starts[joins] = False
+    # apostrophes that begin a pre-token before letters: the listed endings are pre-tokens of their own
+    at = np.flatnonzero((codes[:-1] == 0x27) & starts[:-1] & (kind[1:] == _LETTER) & ~new[1:n]) if n > 1 else np.zeros(0, np.int64)
+    if len(at):
+        first = codes[at + 1]
+        there = (at + 2 < n) & ~new[np.minimum(at + 2, n)]
+        second = np.where(there, codes[np.minimum(at + 2, n - 1)], 0)
+        one = np.isin(first, [ord(c) for c in "stmd"])
+        two = ((first == ord("r")) | (first == ord("v"))) & (second == ord("e")) | (first == ord("l")) & (second == ord("l"))
+        starts[at[one | two] + 1] = False
+        rest = np.concatenate([at[one] + 2, at[two] + 3])
+        rest = rest[rest < n]
+        starts[rest] = True
+    free = np.flatnonzero(kind == _FREE)
+    if len(free):
+        for t in np.unique(np.searchsorted(begins, free, "right") - 1):
+            starts[begins[t] : begins[t + 1]] = False
+            starts[begins[t]] = True
+    return starts
+
+
+class Block:
+    """The pre-tokens of some texts: their hashes in order, and where to find each one's characters."""
+
+    def __init__(self, pattern: str):
+        self.pattern = pattern
+        self.parts: list[tuple] = []
+        self.size = 0
+
+    def add(self, ids: pa.Array, texts: list[bytes]) -> None:
+        whole = [t.decode() for t in texts]
+        begins = np.cumsum([0, *map(len, whole)])
+        text = "".join(whole)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if self.pattern == PATTERN:
+            start = np.flatnonzero(cut(codes, begins))
+        else:
+            import regex
+
+            find = regex.compile(self.pattern).finditer
+            free = classes()[codes] == _FREE
+            spans = [[0] if free[a:b].any() else [m.start() for m in find(t)] for t, a, b in zip(whole, begins, begins[1:])]
+            start = np.concatenate([np.array(x, np.int64) + a for x, a in zip(spans, begins)] or [np.zeros(0, np.int64)]).astype(np.int64)
+        end = np.append(start[1:], len(codes))[: len(start)]
+        wide = codes.astype(np.uint64) + np.uint64(1)
+        keys = [mixed(SpanHasher(wide, base)(start, end) + (end - start).astype(np.uint64)) for base in BASES[:2]]
+        self.parts.append((ids, np.diff(np.searchsorted(start, begins)), text, start.astype(np.int32), end.astype(np.int32), *keys))
+        self.size += sum(map(len, texts))
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each pre-token's number, frequent ones first, and for each number one place where it stands."""
+        keys = np.concatenate([p[5] for p in self.parts])
+        _, first, number, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        second = np.concatenate([p[6] for p in self.parts])
+        if (second != second[first][number]).any():
+            raise ValueError("two pre-tokens have the same hash; encode with other BASES")
+        order = np.lexsort((keys[first], -count))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return rank[number], first[order]
+
+    def words(self, places: np.ndarray) -> list[bytes]:
+        edges = np.cumsum([0, *(len(p[3]) for p in self.parts)])
+        part = np.searchsorted(edges, places, "right") - 1
+        out: list[bytes] = []
+        for p, i in zip(part.tolist(), (places - edges[part]).tolist()):
+            _, _, text, start, end, *_ = self.parts[p]
+            out.append(text[start[i] : end[i]].encode())
+        return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, Block]]:
+    name = TaskContext.get().partitionId() << 32
+    block = Block(pattern)
+    for batch, texts in chunks(batches, "text", 1 << 20):
+        if block.size and block.size + sum(map(len, texts)) > BLOCK_BYTES:
+            yield name, block
+            name, block = name + 1, Block(pattern)
+        block.add(batch.column(0), texts)
+    if block.parts:
+        yield name, block
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Small numbers as planes of bytes, compressed."""
+    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _streams(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
+    """For some texts at a time: their ids, their numbers of pre-tokens, and the pre-tokens' numbers in order (the positions)."""
+    for name, block in _blocks(batches, pattern):
+        number, _ = block.distinct()
+        at = 0
+        for ids, counts, *_ in block.parts:
+            total = int(counts.sum())
+            row = [pa.array([name], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([_packed(counts)], pa.binary()), pa.array([_packed(number[at : at + total])], pa.binary())]
+            yield pa.RecordBatch.from_arrays(row, ["block", "ids", "counts", "stream"])
+            at += total
+
+
+def _asked(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[pa.RecordBatch]:
+    """For each block and bucket of words: the words' numbers in the block, their lengths, and the words."""
     pack = zstandard.ZstdCompressor(level=3).compress
-    number = {}
-    block, filled, held = base, 0, []
-
-    def dictionary() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([block] * len(number), pa.int64()), pa.array(range(len(number)), pa.int32()), pa.array(list(number), pa.string()).cast(pa.binary())], ["block", "number", "word"])
-
-    for batch, texts in chunks(batches, "text", 2 << 20):
-        streams = []
-        size = sum(map(len, texts))
-        if filled and filled + size > BLOCK_BYTES:
-            if words:
-                yield dictionary()
-            number = {}
-            block, filled = block + 1, 0
-        filled += size
-        for text in texts:
-            found = find(text.decode())
-            if words:
-                for w in found:
-                    if w not in number:
-                        number[w] = len(number)
-            else:
-                get = number.setdefault
-                ids = np.fromiter((get(w, len(number)) for w in found), np.uint32, len(found))
-                small = not len(ids) or ids.max() < 65536
-                streams.append(pack((b"\x02" if small else b"\x04") + ids.astype(np.uint16 if small else np.uint32).tobytes()))
-        if not words:
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(texts), pa.int64()), batch.column(0), pa.array(streams, pa.binary())], ["block", "doc_id", "stream"])
-    if words and number:
-        yield dictionary()
+    for name, block in _blocks(batches, pattern):
+        words = block.words(block.distinct()[1])
+        bucket = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in words), np.int64, len(words))
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in range(buckets):
+            own = order[edges[b] : edges[b + 1]]
+            if len(own):
+                held = [words[i] for i in own.tolist()]
+                row = [pa.array([b], pa.int32()), pa.array([name], pa.int64()), pa.array([_packed(np.diff(own, prepend=0))], pa.binary()), pa.array([_packed(np.fromiter(map(len, held), np.int64, len(held)))], pa.binary()), pa.array([pack(b"".join(held))], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, ["bucket", "block", "numbers", "sizes", "words"])
 
 
 def _encode_words(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern: str) -> Iterator[pa.RecordBatch]:
-    """Ids of each word; the rows are sorted by word, so each distinct word is encoded once."""
+    """Ids of the words. All askers of a word are in this task, which encodes it once and remembers it."""
     import tiktoken
 
     encode = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    last, ids = None, []
+    unpack = zstandard.ZstdDecompressor().decompress
+    known: dict[bytes, list[int]] = {}
     for batch in batches:
-        flat, ends = [], [0]
-        for word in batch.column(2).to_pylist():
-            if word != last:
-                last, ids = word, encode(word.decode())
-            flat.extend(ids)
-            ends.append(len(flat))
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["block", "number", "ids"])
+        for row in batch.to_pylist():
+            data = unpack(row["words"])
+            ends = np.cumsum(_unpacked(row["sizes"])).tolist()
+            flat, counts, at = [], [], 0
+            for end in ends:
+                word = data[at:end]
+                at = end
+                ids = known.get(word)
+                if ids is None:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    ids = known[word] = encode(word.decode())
+                flat += ids
+                counts.append(len(ids))
+            out = [pa.array([row["block"]], pa.int64()), pa.array([row["numbers"]], pa.binary()), pa.array([_packed(np.array(counts))], pa.binary()), pa.array([_packed(np.array(flat, np.int64))], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, ["block", "numbers", "counts", "ids"])
 
 
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -119,22 +225,26 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
-    unpack = zstandard.ZstdDecompressor().decompress
-    order = np.argsort(words["number"].to_numpy())
-    lists = words["ids"].combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    flat = lists.values.to_numpy(zero_copy_only=False)
-    starts, counts = offsets[:-1][order], np.diff(offsets)[order]
-    ids, ends = [], [0]
-    for stream in docs["stream"].to_pylist():
-        raw = unpack(stream)
-        seq = np.frombuffer(raw, np.uint16 if raw[0] == 2 else np.uint32, offset=1).astype(np.int64)
-        ids.append(flat[spread(starts[seq], counts[seq])])
-        ends.append(ends[-1] + len(ids[-1]))
-    out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32) if ids else [], pa.int32()))
-    return pa.table({"doc_id": docs["doc_id"], "token_ids": out})
+    """A block's texts as token ids: the words' ids, put where the positions say."""
+    numbers, counts, ids = [], [], []
+    for row in words.to_pylist():
+        numbers.append(np.cumsum(_unpacked(row["numbers"])))
+        counts.append(_unpacked(row["counts"]))
+        ids.append(_unpacked(row["ids"]).astype(np.int32))
+    none = np.zeros(0, np.int64)
+    number, count, flat = np.concatenate(numbers or [none]), np.concatenate(counts or [none]), np.concatenate(ids or [none.astype(np.int32)])
+    starts, sizes = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+    starts[number], sizes[number] = np.cumsum(count) - count, count
+    names, tokens, lengths = [], [], []
+    for row in docs.to_pylist():
+        stream, pieces = _unpacked(row["stream"]), _unpacked(row["counts"])
+        tokens.append(flat[spread(starts[stream], sizes[stream])])
+        upto = np.concatenate([[0], np.cumsum(sizes[stream])])[np.concatenate([[0], np.cumsum(pieces)])]
+        lengths.append(np.diff(upto))
+        names += row["ids"]
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(lengths or [none]))]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens or [none]).astype(np.int32)))
+    return pa.table({"doc_id": pa.array(names, pa.int64()), "token_ids": lists})
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, repeatable: bool = False) -> DataFrame:
@@ -151,18 +261,21 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, repeatable: bool = Fa
         base = stash(base)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
-    def words_of(batches):
-        return _blocks(batches, pattern, True)
+    # words spread evenly over as many tasks as a shuffle has, a few buckets to each
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def asked_of(batches):
+        return _asked(batches, pattern, buckets)
 
     def streams_of(batches):
-        return _blocks(batches, pattern, False)
+        return _streams(batches, pattern)
 
     def ids_of(batches):
         return _encode_words(batches, ranks.value, pattern)
 
-    asked = base.select("doc_id", "text").mapInArrow(words_of, "block long, number int, word binary")
-    told = asked.repartition("word").sortWithinPartitions("word").mapInArrow(ids_of, "block long, number int, ids array<int>")
-    texts = base.mapInArrow(streams_of, "block long, doc_id long, stream binary")
+    asked = base.mapInArrow(asked_of, "bucket int, block long, numbers binary, sizes binary, words binary")
+    told = asked.repartition("bucket").mapInArrow(ids_of, "block long, numbers binary, counts binary, ids binary")
+    texts = base.mapInArrow(streams_of, "block long, ids array<long>, counts binary, stream binary")
     return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_assemble, "doc_id long, token_ids array<int>")
 
 
