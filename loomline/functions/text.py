@@ -26,9 +26,10 @@ def is_pdf(path: Column) -> Column:
 
 
 def title_of(path: Column) -> Column:
-    """The file's name without folder and ending, underscores as spaces, words capitalised."""
+    """The file's name without folder and ending, underscores as spaces, each run of letters capitalised."""
     stem = F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"(?<=.)\.[^.]*$", "")
-    return F.initcap(F.replace(stem, F.lit("_"), F.lit(" ")))
+    runs = F.regexp_extract_all(F.replace(stem, F.lit("_"), F.lit(" ")), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def bullet_pages(line: Column) -> Column:

@@ -25,6 +25,7 @@ def test_page_labels(spark):
 
 def test_titles_and_ids(spark):
     assert one(spark, text.title_of(F.lit("/a/b/my_old_book.pdf"))) == "My Old Book"
+    assert one(spark, text.title_of(F.lit("o'neil_2nd.txt"))) == "O'Neil 2Nd"
     assert one(spark, text.is_pdf(F.lit("x.PdF"))) and not one(spark, text.is_pdf(F.lit("x.txt")))
     assert one(spark, text.content_id(F.lit(b"abc"))) == "doc_a9993e364706816a"
 
