@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import BASES, SpanHasher, chunks, mixed, stash
+from loomline.llm.common import BASES, SpanHasher, chunks, mixed, release, small_batches, stash
 
 #: Bytes of text in one block.
 BLOCK_BYTES = 8 << 20
@@ -243,6 +243,7 @@ def _assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
         lengths.append(np.diff(upto))
         names += row["ids"]
     ends = np.concatenate([[0], np.cumsum(np.concatenate(lengths or [none]))]).astype(np.int32)
+    release()
     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens or [none]).astype(np.int32)))
     return pa.table({"doc_id": pa.array(names, pa.int64()), "token_ids": lists})
 
@@ -257,6 +258,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, repeatable: bool = Fa
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    small_batches(spark)
     if not repeatable:
         base = stash(base)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of text that one numpy step works on.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,6 +68,21 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.to_pylist()]
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let the session send at most 8 MB of rows to Python at a time; by default it is 64 MB, held by the JVM and by Python at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = str(spark.conf.get(key)).lower().rstrip("b")
+    if not held.isdigit() or int(held) > most:
+        spark.conf.set(key, str(most))
+
+
+def release() -> None:
+    """Give memory that this Python worker no longer uses back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about ``limit`` bytes of text each, and their texts. One longer text comes alone, whole."""
     for batch in batches:
@@ -79,6 +96,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             size += length
         if start < batch.num_rows:
             yield batch.slice(start), texts_of(texts.slice(start))
+        release()
 
 
 class WordHashes(dict):
