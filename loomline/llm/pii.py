@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomline.llm.common import chunks
+from loomline.llm.common import chunks, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -49,7 +49,10 @@ _WORD_DIGIT = "(?:" + "|".join(sorted(DIGIT_WORDS, key=lambda w: (-len(w), w)))
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[\x20-])?{_WORD_DIGIT}(?:[\x20-]{_WORD_DIGIT}){{{MIN_SPELLED - 1},}}(?!\w)", re.IGNORECASE)
 _MAYBE_SPELLED = re.compile(rf"(?<!\w){_WORD_DIGIT}[\x20-]{_WORD_DIGIT}[\x20-]{_WORD_DIGIT}(?!\w)", re.IGNORECASE)
 _BOXED = re.compile(r"\x20?[\[({<]\x20?(at|@|dot|\.)\x20?[\])}>]\x20?", re.IGNORECASE)
-_TALKED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: dot [A-Za-z0-9_%+-]{1,64}){0,4} at [A-Za-z0-9-]{1,63}(?:(?: dot |\.)[A-Za-z0-9-]{1,63}){1,6}(?![A-Za-z0-9-])", re.IGNORECASE)
+_TALKED = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: dot [A-Za-z0-9_%+-]{1,64}){0,4} at (?!(?:the|an?|this|that|its|his|her|my|our|your|their) )"
+    r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,4}(?: dot [A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,4}){1,6}(?![A-Za-z0-9-])", re.IGNORECASE
+)
 _TALKED_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?dot ?[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE)
 _SIGN = re.compile(r" ?(at|dot) ?", re.IGNORECASE)
 _PART = re.compile(r"[\x20-]")
@@ -215,4 +218,5 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Offsets count code points, the end is exclusive.
     Null and empty texts have no spans. Every input row gives one row, repeated rows and null ids too.
     """
+    small_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_scan, "doc_id long, spans array<struct<kind:string,start:long,end:long,plain:boolean>>")
