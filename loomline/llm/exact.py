@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import ascii_lower, stash
+from loomline.llm.common import ascii_lower, drop_stash, stash
 
 #: Places that the copies of one text are spread over.
 SALTS = 64
@@ -42,6 +42,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     forms = stash(runs.select(F.sha2("norm", 256).alias("text_sha256"), "salt", F.col("doc_id").alias("last"), "n"))
     groups = forms.groupBy("text_sha256").agg(F.max("last").alias("keep_id"), F.sum("n").alias("group_size"))
     keys = stash(forms.select("text_sha256", "salt").join(groups, "text_sha256"))
+    drop_stash(forms)
     rows = base.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), "salt")
     out = rows.join(keys, ["text_sha256", "salt"])
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import WORD, stash
+from loomline.llm.common import WORD, drop_stash, stash
 
 CAP = 3
 #: Bins of the seeded order; only the documents of one bin per source are ordered one by one.
@@ -65,7 +65,10 @@ def plan(sized: DataFrame, cap: int = CAP, weights: Column | None = None) -> Dat
     # a document in which the fraction ends counts if that comes nearer
     last = x.withColumn("run", run).where(F.col("run") - F.col("size") / 2 <= F.col("extra")).groupBy(F.col("e_source").alias("l_source")).agg(F.max("rank").alias("l_rank"))
     stops = edge.join(last, same("e_source", "l_source"), "left").select("e_source", F.coalesce("l_rank", "e_bin").alias("stop"))
-    return stash(goals.join(stops, same("p_source", "e_source"), "left").select("p_source", "source_size", "target", "whole", F.when(F.col("whole") < cap, F.col("stop")).alias("stop")))
+    out = stash(goals.join(stops, same("p_source", "e_source"), "left").select("p_source", "source_size", "target", "whole", F.when(F.col("whole") < cap, F.col("stop")).alias("stop")))
+    for x in (bins, goals, edge):
+        drop_stash(x)
+    return out
 
 
 def repeats(rank: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import WordHashes, chunks, crc_bucket, hashed_words, stash
+from loomline.llm.common import WordHashes, chunks, crc_bucket, drop_stash, hashed_words, small_batches, stash
 from loomline.llm.rules import _flags, repeated_words
 
 FEATURES, SIGMA, RIDGE = 256, 3.0, 1e-3
@@ -169,6 +169,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> QualityModel:
     used = np.flatnonzero(count)
     if len(used):
         model.knots = isotonic(used / (BINS - 1) * 2 - 0.5, good[used] / count[used], count[used])
+    drop_stash(rows)
     return model
 
 
@@ -179,6 +180,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     crc32(id as text) mod 4 is 2 teach nothing. Null and empty texts have all-zero statistics and are scored like any
     other. Without any label every score is that of an untrained model. Null ids are scored, never learned from.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     stats = stash(base.mapInArrow(_scan, "doc_id long, stats array<float>"))
     model = fit(stats, labels)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import BASES, WordHashes, chunks, hashed_words, mixed, stash
+from loomline.llm.common import BASES, WordHashes, chunks, drop_stash, hashed_words, mixed, small_batches, stash
 
 WINDOW = 5
 #: Texts that a group needs for limits of its own.
@@ -145,10 +145,13 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     Null languages and sources form groups of their own. Texts that fail the base rules
     are not part of the sketches. An empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     x = measures(docs)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rated = stash(_rates(x).withColumn("base_failed", failed))
-    bounds = stash(limits(stash(sketches(rated.where(~F.col("base_failed"))))))
+    held = stash(sketches(rated.where(~F.col("base_failed"))))
+    bounds = stash(limits(held))
+    drop_stash(held)
     joined = rated.join(bounds, F.col("lang").eqNullSafe(F.col("l_lang")) & F.col("source").eqNullSafe(F.col("l_source")), "left")
     fine = F.lit(True)
     for m in MEASURES:

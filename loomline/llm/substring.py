@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import BASES, SpanHasher, WordHashes, chunks, hashed_words, mixed, signed, stash, text_key
+from loomline.llm.common import BASES, SpanHasher, WordHashes, chunks, drop_stash, hashed_words, mixed, signed, small_batches, stash, text_key
 
 ROUNDS = 4
 #: Bytes of text that are parsed at once; the parse keeps some hundred bytes for each word.
@@ -223,6 +223,7 @@ def substring_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     whole and are nobody's source. Rows with the same id are one document:
     neither is a source for the other. An empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("tkey"), "text")
     found = base.where("id is not null").mapInArrow(partial(_segments, width=width), "id long, tkey long, hook long, whole long, first int, last int")
     found = stash(found)
@@ -238,6 +239,8 @@ def substring_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     wanted = forms.join(open_, "hook").groupBy(F.col("src").alias("id"), "tkey").agg(F.collect_list(F.struct("hook", "first", "last")).alias("spans"))
     single = stash(base.join(wanted, ["id", "tkey"]).select("id", "tkey", "text", "spans").mapInArrow(partial(_windows, width=width), "id long, tkey long, hook long, words long, first int"))
     origin = stash(single.groupBy("hook", "words").agg(F.min("id").alias("src"), F.max("id").alias("most")).where("src < most").drop("most"))
+    for x in (found, common, open_):
+        drop_stash(x)
     by_window = single.join(origin, ["hook", "words"]).where("src < id").select("id", "tkey", F.col("first").alias("s"), (F.col("first") + width).alias("e"))
     spans = by_segment.unionByName(by_window).groupBy("id", "tkey").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     return base.join(spans, ["id", "tkey"], "left").select("id", "text", "spans").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -19,10 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import chunks, crc_bucket, mixed, stash
+from loomline.llm.common import chunks, crc_bucket, drop_stash, mixed, small_batches, stash
 
 #: Labelled texts per class that are used at most for training, in a fixed pseudo-random order of ids.
 SAMPLE = 1500
+#: Longer texts are not part of the training sample; the driver holds the sample's whole texts.
+SAMPLE_CHARS = 100_000
 HELD_OUT, MODULUS = 0, 5
 #: Words of a window, and words from one window's start to the next.
 WIDTH, STRIDE = 48, 32
@@ -302,6 +304,7 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
     """Train on at most SAMPLE texts of each class among the labelled rows that are not held out."""
+    small_batches(docs.sparkSession)
     own = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("toxic"))
     own = stash(own.where(crc_bucket(F.col("l_id"), MODULUS) != HELD_OUT))
     picked = None
@@ -311,7 +314,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     picked = stash(picked.dropDuplicates(["l_id"]))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # the sample's size is bounded, so it may go to every task
-    rows = text.join(F.broadcast(picked), text.doc_id == picked.l_id).select("doc_id", "toxic", F.substring("text", 1, 20_000).alias("text")).collect()
+    rows = text.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(picked), text.doc_id == picked.l_id).select("doc_id", "toxic", "text").collect()
+    for x in (own, picked):
+        drop_stash(x)
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
     return train([(r.text or "").encode() for r in rows], np.array([r.toxic for r in rows], np.int64))
 
@@ -326,7 +331,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     net = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, "text"):
+        for batch, texts in chunks(batches, "text", 1 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.value.score(texts))], ["doc_id", "score"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -339,7 +344,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     net = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, "text"):
+        for batch, texts in chunks(batches, "text", 1 << 20):
             yield batch.filter(pa.array(net.value.score(texts) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
