@@ -43,6 +43,8 @@ DIGIT_WORDS = {
 }
 #: Digits that a row of digit words must spell to count.
 MIN_SPELLED = 7
+#: Different digits in such a row.
+MIN_DISTINCT = 3
 
 _FOREIGN = re.compile("[" + re.escape("".join(LOOK_ALIKES) + "".join(SIGN_FORMS) + ZERO_WIDTH) + "！-～٠-٩۰-۹०-९\U0001d7ce-\U0001d7ff]")
 _WORD_DIGIT = "(?:" + "|".join(sorted(DIGIT_WORDS, key=lambda w: (-len(w), w))) + "|[0-9])"
@@ -53,6 +55,9 @@ _TALKED = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: dot [A-Za-z0-9_%+-]{1,64}){0,4} at (?!(?:the|an?|this|that|its|his|her|my|our|your|their) )"
     r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,4}(?: dot [A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,4}){1,6}(?![A-Za-z0-9-])", re.IGNORECASE
 )
+_AT = re.compile(r"[ ](?i:at)[ ](?=[A-Za-z0-9-]{1,63}\.)")
+_HANDLE = re.compile(r"(?<![A-Za-z0-9._%+-])(?=[A-Za-z]*[0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\Z")
+_HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,5}\.[A-Za-z]{2,24}(?![A-Za-z0-9@-])")
 _TALKED_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?dot ?[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE)
 _SIGN = re.compile(r" ?(at|dot) ?", re.IGNORECASE)
 _PART = re.compile(r"[\x20-]")
@@ -157,13 +162,18 @@ def _unsay(text: str) -> list[tuple[int, int, str]]:
     return [e for i, e in enumerate(edits) if not i or e[0] >= edits[i - 1][1]]
 
 
+def _unspoken_at(text: str) -> list[tuple[int, int, str]]:
+    """``at`` between what looks like a user's name (with a digit or sign in it) and a host's name."""
+    return [(m.start(), m.end(), "@") for m in _AT.finditer(text) if _HOST.match(text, m.end()) and _HANDLE.search(text, max(0, m.start() - 66), m.start())]
+
+
 def _unspell(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _SPELLED.finditer(text):
         words = _PART.split(m[0])
-        if not any(w.lower() in DIGIT_WORDS for w in words):
-            continue
-        edits.append((m.start(), m.end(), "".join("+" if w.lower() == "plus" else DIGIT_WORDS.get(w.lower(), w) for w in words)))
+        put = "".join("+" if w.lower() == "plus" else DIGIT_WORDS.get(w.lower(), w) for w in words)
+        if len(set(put)) >= MIN_DISTINCT and any(w.lower() in DIGIT_WORDS for w in words):  # not one article or number said again and again
+            edits.append((m.start(), m.end(), put))
     return edits
 
 
@@ -177,6 +187,8 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     if "dot" in low or "at" in low and _BOXED.search(tape.text):
         tape.rewrite(_unbox(tape.text))
         tape.rewrite(_unsay(tape.text))
+    if " at " in low:
+        tape.rewrite(_unspoken_at(tape.text))
     if _MAYBE_SPELLED.search(tape.text):
         spelled = _unspell(tape.text)
         tape.rewrite(spelled)

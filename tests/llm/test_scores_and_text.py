@@ -94,6 +94,7 @@ def test_luhn():
     [
         ("write to jane.doe [at] mail (dot) example [dot] org today", "email", "jane.doe [at] mail (dot) example [dot] org"),
         ("write to jane at example dot org now", "email", "jane at example dot org"),
+        ("ask bosbt.42 at mail8.example.com, please", "email", "bosbt.42 at mail8.example.com"),
         ("jаne@exаmple.org is it", "email", "jаne@exаmple.org"),
         ("call four one five five five five zero one two three please", "phone", "four one five five five five zero one two three"),
         ("call plus one four one five five five five zero one two three", "phone", "plus one four one five five five five zero one two three"),
@@ -108,7 +109,7 @@ def test_disguises(text, kind, hidden):
 
 
 def test_clean_text_has_no_spans():
-    for text in ("He was at home. The dot on the map is one of two or three.", "un deux trois soleil", "version 1.2.3 of 2024-01-02", "meet at noon at the dot com office", "look at example.org or at home.Then go"):
+    for text in ("He was at home. The dot on the map is one of two or three.", "un deux trois soleil", "version 1.2.3 of 2024-01-02", "meet at noon at the dot com office", "look at example.org or at home.Then go", "un un un un un un un un un un", "It was 42. Then at home.She slept"):
         assert pii.all_spans(text) == ([], [])
 
 
