@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -18,3 +20,12 @@ def session(master: str | None = None, name: str = "loomline", **more: str) -> S
     """A session; on a cluster leave ``master`` to the launcher."""
     builder = SparkSession.builder.appName(name).config(map=SETTINGS | more)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it; where they have it installed this changes nothing."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    held = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in held:
+        environment["PYTHONPATH"] = os.pathsep.join([p for p in held if p] + [root])
