@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.session import importable
+
 #: One word of a text: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The characters that separate words.
@@ -69,7 +71,8 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Let the session send at most 8 MB of rows to Python at a time; by default it is 64 MB, held by the JVM and by Python at once."""
+    """Make the package importable in workers, and let the session send at most 8 MB of rows to Python at a time; by default it is 64 MB, held by the JVM and by Python at once."""
+    importable(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     held = str(spark.conf.get(key)).lower().rstrip("b")
     if not held.isdigit() or int(held) > most:
