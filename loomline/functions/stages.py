@@ -50,6 +50,13 @@ def view(stages: Column) -> Column:
     return F.filter(stages, lambda s: strip(F.coalesce(s["name"], F.lit(""))) != "")
 
 
+def line(place: Column, one: Column) -> Column:
+    """A stage as it stands in a prompt; ``place`` counts from 0."""
+    framing = F.when(one["is_framing"], " [FRAMING]").otherwise("")
+    described = F.when(F.coalesce(one["description"], F.lit("")) == "", "").otherwise(F.concat(F.lit(" - "), one["description"]))
+    return F.concat((place + 1).cast("string"), F.lit(". "), one["name"], framing, described)
+
+
 def _words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.regexp_replace(text, "[/-]", " "), r"\s+"), lambda t: F.length(t) > 2))
 

@@ -114,6 +114,20 @@ def _top_level(fields: str) -> list[str]:
     return out
 
 
+def light_index(events: DataFrame) -> DataFrame:
+    """``doc_id, known``: what a model is told of each document's events, as JSON in a fixed order."""
+    order = ["seq"] if "seq" in events.columns else []
+    rows = F.array_sort(F.collect_list(F.struct(*order, "event_name", "category", "timeline_anchor", "core_event")))
+    return events.groupBy("doc_id").agg(F.to_json(F.transform(rows, lambda r: F.struct(*(r[c].alias(c) for c in ("event_name", "category", "timeline_anchor", "core_event"))))).alias("known"))
+
+
+def merge_prompt(batches: DataFrame, index: DataFrame, lines: DataFrame, pages: int) -> DataFrame:
+    """``doc_id, batch, user``: each batch with the stages and the events known before it."""
+    x = batches.join(index, "doc_id", "left").join(lines, "doc_id", "left")
+    known, stages = F.coalesce("known", F.lit("[]")), F.coalesce("lines", F.lit(""))
+    return x.select("doc_id", "batch", F.concat(F.lit(f"PAGES {pages}\n"), stages, F.lit("\nKNOWN EVENTS: "), known, F.lit("\nOBSERVATIONS:\n"), "text").alias("user"))
+
+
 def stats(instructions: DataFrame, events: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """``doc_id, added, merged, failed``: instructions that made events, that extended them, and batches without a result."""
     total = instructions.groupBy("doc_id").agg(F.count("*").alias("n"))

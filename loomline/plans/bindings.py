@@ -135,9 +135,8 @@ def t13_t15_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def t16_light_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct("event_name", "category", "timeline_anchor", "core_event")))
-    index = story_events(spark, sf_dir).groupBy("doc_id").agg(F.to_json(rows).alias("j"))
-    back = F.from_json("j", "array<struct<event_name:string,category:string,timeline_anchor:string,core_event:string>>")
+    index = merge.light_index(story_events(spark, sf_dir).drop("seq"))
+    back = F.from_json("known", "array<struct<event_name:string,category:string,timeline_anchor:string,core_event:string>>")
     return index.select("doc_id", F.size(back).cast("long").alias("n"), F.md5(F.array_join(F.transform(back, lambda x: F.concat_ws("|", x["event_name"], x["category"], x["timeline_anchor"], x["core_event"])), ";")).alias("index_md5"))
 
 
@@ -182,8 +181,16 @@ def e3_stage_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def t17_stage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = source_stages(spark, sf_dir).select("doc_id", F.posexplode(stages.normalize(F.col("taxonomy"))).alias("i", "s"))
-    line = F.concat((F.col("i") + 1).cast("string"), F.lit(". "), F.col("s.name"), F.when(F.col("s.is_framing"), " [FRAMING]").otherwise(""))
-    return x.groupBy("doc_id").agg(text.ordered_text(["i"], line, "\n").alias("lines"))
+    return x.groupBy("doc_id").agg(text.ordered_text(["i"], stages.line(F.col("i"), F.col("s")), "\n").alias("lines"))
+
+
+@query
+def t18_merge_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as batches with the stages' names; no events are known before."""
+    work = windows.batches(talk(spark, sf_dir))
+    lines = work.select("doc_id").distinct().withColumn("lines", F.lit("1. A"))
+    none = spark.createDataFrame([], "doc_id string, known string")
+    return merge.merge_prompt(work, none, lines, 7).select("doc_id", "batch", F.md5("user").alias("user_md5"))
 
 
 # merging

@@ -122,10 +122,8 @@ class Engine:
         lines = self.stage_lines(doc_id)
         rounds = work.agg(F.max("round")).first()[0]
         for r in range(0 if rounds is None else rounds + 1):
-            known = self._known(path)
-            index = known.agg(F.to_json(F.array_sort(F.collect_list(F.struct("seq", "event_name", "category", "timeline_anchor", "core_event")))).alias("known"))
-            user = F.concat(F.lit(f"PAGES {total}\n"), "lines", F.lit("\nKNOWN EVENTS: "), "known", F.lit("\nOBSERVATIONS:\n"), "text")
-            asked = work.where(F.col("round") == r).join(index, F.lit(True)).join(lines, F.lit(True)).select("doc_id", "batch", F.lit(MERGE).alias("system"), user.alias("user"))
+            prompts = merge.merge_prompt(work.where(F.col("round") == r), merge.light_index(self._known(path)), lines, total)
+            asked = prompts.select("doc_id", "batch", F.lit(MERGE).alias("system"), "user")
             models.chat(asked, self.make_client, "system", "user", max_tokens=6000, structured=True, partitions=self.conf.concurrency).write.mode("append").parquet(path)
         replies = self._replies(path)
         return self._instructions(path), replies.where("reply is null").select("doc_id", "batch")
@@ -143,10 +141,9 @@ class Engine:
         return merge.fold(self._instructions(path))
 
     def stage_lines(self, doc_id: str) -> DataFrame:
-        """``lines``: the document's stages as numbered prompt lines."""
-        t = self.store.taxonomy(doc_id).select(F.posexplode("taxonomy").alias("i", "s"))
-        line = F.concat((F.col("i") + 1).cast("string"), F.lit('. "'), F.col("s.name"), F.lit('"'), F.when(F.col("s.is_framing"), " [FRAMING]").otherwise(""), F.lit(" - "), F.coalesce("s.description", F.lit("")))
-        return t.agg(text.ordered_text(["i"], line, "\n").alias("lines"))
+        """``doc_id, lines``: the document's stages as numbered prompt lines."""
+        t = self.store.taxonomy(doc_id).select("doc_id", F.posexplode("taxonomy").alias("i", "s"))
+        return t.groupBy("doc_id").agg(text.ordered_text(["i"], stages.line(F.col("i"), F.col("s")), "\n").alias("lines"))
 
     def build_timeline(self, doc_id: str, progress: Callable = lambda p, s: None) -> dict:
         observations = self.observe(doc_id)

@@ -117,6 +117,9 @@ SELECT doc_id, md5(string_agg('[Passage ' || place || ' | similarity ' || printf
   CAST(max(page_end - page_start + 1) FILTER (place = 1) AS INT) AS n_pages, md5(max(substring(content, 1, 280)) FILTER (place = 1)) AS preview_md5 FROM h GROUP BY doc_id""",
     "t16_light_index": f"WITH {_STORY} SELECT doc_id, count(*) AS n, md5(string_agg(event_name || '|' || category || '|' || anchor0 || '|' || core_event, ';' ORDER BY event_name)) AS index_md5 FROM ev GROUP BY doc_id",
     "t17_stage_lines": f"WITH {_SOURCE_STAGES} SELECT doc_id, string_agg((place + 1) || '. ' || name || CASE WHEN is_framing THEN ' [FRAMING]' ELSE '' END, chr(10) ORDER BY place) AS lines FROM sn GROUP BY doc_id",
+    "t18_merge_prompts": f"""
+WITH {_TALK}, b AS (SELECT doc_id, CAST(i // 2 AS INT) AS batch, string_agg('--- pages ' || page_start || '-' || page_start || ' ---' || chr(10) || raw_text, chr(10) || chr(10) ORDER BY i) AS t FROM tk GROUP BY doc_id, i // 2)
+SELECT doc_id, batch, md5('PAGES 7' || chr(10) || '1. A' || chr(10) || 'KNOWN EVENTS: []' || chr(10) || 'OBSERVATIONS:' || chr(10) || t) AS user_md5 FROM b""",
     "e1_stage_normalize": f"WITH {_SOURCE_STAGES} SELECT * FROM sn",
     "e2_s14_s15_taxonomy_json": rf"""
 WITH {_SOURCE_STAGES}, g AS (SELECT doc_id, string_agg(name, '/' ORDER BY place) AS names FROM sn GROUP BY doc_id), c AS (SELECT doc_id, count(*) AS n, max(num) AS num FROM sy GROUP BY doc_id)
