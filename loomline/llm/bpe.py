@@ -30,6 +30,8 @@ from loomline.llm.common import BASES, SpanHasher, chunks, mixed, release, small
 
 #: Bytes of text in one block.
 BLOCK_BYTES = 8 << 20
+#: Code points whose pre-tokens are hashed at once.
+SLICE = 1 << 20
 #: Distinct words whose ids a task remembers.
 REMEMBERED = 500_000
 
@@ -113,8 +115,15 @@ class Block:
             spans = [[0] if free[a:b].any() else [m.start() for m in find(t)] for t, a, b in zip(whole, begins, begins[1:])]
             start = np.concatenate([np.array(x, np.int64) + a for x, a in zip(spans, begins)] or [np.zeros(0, np.int64)]).astype(np.int64)
         end = np.append(start[1:], len(codes))[: len(start)]
-        wide = codes.astype(np.uint64) + np.uint64(1)
-        keys = [mixed(SpanHasher(wide, base)(start, end) + (end - start).astype(np.uint64)) for base in BASES[:2]]
+        keys = [np.empty(len(start), np.uint64) for _ in range(2)]
+        i = 0
+        while i < len(start):  # a slice of pre-tokens at a time, so that a very long text needs little more memory than itself
+            j = max(i + 1, int(np.searchsorted(start, start[i] + SLICE)))
+            a, b = start[i:j] - start[i], end[i:j] - start[i]
+            wide = codes[start[i] : end[j - 1]].astype(np.uint64) + np.uint64(1)
+            for key, base in zip(keys, BASES):
+                key[i:j] = mixed(SpanHasher(wide, base)(a, b) + (b - a).astype(np.uint64))
+            i = j
         self.parts.append((ids, np.diff(np.searchsorted(start, begins)), text, start.astype(np.int32), end.astype(np.int32), *keys))
         self.size += sum(map(len, texts))
 
