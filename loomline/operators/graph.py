@@ -22,32 +22,42 @@ MIN_TOKEN = 4
 
 
 def chain(events: DataFrame) -> DataFrame:
-    """Edges between consecutive events of ``events(doc_id, id, rank, stage_order)``."""
+    """Edges between consecutive events of ``events(doc_id, id, rank, stage_order)``, with the ranks of their ends."""
     order = Window.partitionBy("doc_id").orderBy("rank")
-    x = events.select("doc_id", F.col("id").alias("src"), F.lead("id").over(order).alias("dst"), "stage_order", F.lead("stage_order").over(order).alias("later"))
+    x = events.select("doc_id", F.col("id").alias("src"), F.lead("id").over(order).alias("dst"), F.col("rank").alias("src_rank"), F.lead("rank").over(order).alias("dst_rank"), "stage_order", F.lead("stage_order").over(order).alias("later"))
     confidence = F.when(F.col("later") > F.col("stage_order"), NEXT_STAGE).otherwise(NEXT)
-    return x.where("dst is not null").select("doc_id", "src", "dst", confidence.alias("confidence"), F.lit("sequence").alias("kind"))
+    return x.where("dst is not null").select("doc_id", "src", "dst", confidence.alias("confidence"), F.lit("sequence").alias("kind"), "src_rank", "dst_rank")
 
 
 def causal(events: DataFrame, shared: float = SHARED) -> DataFrame:
     """Edges from an event whose effect shares enough tokens with another event's cause, through an inverted index instead of all pairs.
 
-    ``events`` needs ``doc_id, id, consequent_effect, antecedent_cause``. The join key is (document, token), so no token is
+    ``events`` needs ``doc_id, id, consequent_effect, antecedent_cause``; where it has ``rank``, the edges have the ranks of their ends. The join key is (document, token), so no token is
     hotter than it is in one document.
     """
-    side = lambda column, name: events.select("doc_id", F.col("id").alias(name), tokens(F.coalesce(column, F.lit("")), MIN_TOKEN).alias("t")).select("doc_id", name, F.size("t").alias(f"{name}_size"), F.explode("t").alias("token"))
+    ranked = "rank" in events.columns
+
+    def side(column: str, name: str) -> DataFrame:
+        rank = [F.col("rank").alias(f"{name}_rank")] if ranked else []
+        x = events.select("doc_id", F.col("id").alias(name), *rank, tokens(F.coalesce(column, F.lit("")), MIN_TOKEN).alias("t"))
+        return x.select("doc_id", name, *([f"{name}_rank"] if ranked else []), F.size("t").alias(f"{name}_size"), F.explode("t").alias("token"))
+
+    ranks = ["src_rank", "dst_rank"] if ranked else []
     met = side("consequent_effect", "src").join(side("antecedent_cause", "dst"), ["doc_id", "token"]).where("src <> dst")
-    both = met.groupBy("doc_id", "src", "dst").agg(F.count("*").alias("n"), F.min(F.least("src_size", "dst_size")).alias("size"))
-    return both.where(F.col("n") / F.col("size") >= shared).select("doc_id", "src", "dst", F.lit(CAUSAL).alias("confidence"), F.lit("causal").alias("kind"))
+    both = met.groupBy("doc_id", "src", "dst").agg(F.count("*").alias("n"), F.min(F.least("src_size", "dst_size")).alias("size"), *(F.min(r).alias(r) for r in ranks))
+    return both.where(F.col("n") / F.col("size") >= shared).select("doc_id", "src", "dst", F.lit(CAUSAL).alias("confidence"), F.lit("causal").alias("kind"), *ranks)
 
 
 def combine(edges: DataFrame) -> DataFrame:
     """At most one edge for a pair, the most confident."""
     best = F.max_by(F.struct("confidence", "kind"), "confidence")
-    return edges.groupBy("doc_id", "src", "dst").agg(best.alias("b")).select("doc_id", "src", "dst", "b.confidence", "b.kind")
+    ranks = [c for c in ("src_rank", "dst_rank") if c in edges.columns]
+    return edges.groupBy("doc_id", "src", "dst").agg(best.alias("b"), *(F.min(r).alias(r) for r in ranks)).select("doc_id", "src", "dst", "b.confidence", "b.kind", *ranks)
 
 
 def _with_ranks(edges: DataFrame, events: DataFrame) -> DataFrame:
+    if "src_rank" in edges.columns:
+        return edges
     ranks = events.select("doc_id", "id", "rank")
     return edges.join(ranks.select("doc_id", F.col("id").alias("src"), F.col("rank").alias("src_rank")), ["doc_id", "src"]).join(ranks.select("doc_id", F.col("id").alias("dst"), F.col("rank").alias("dst_rank")), ["doc_id", "dst"])
 

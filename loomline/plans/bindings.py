@@ -246,7 +246,7 @@ def e10_event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def g1_chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.chain(story(spark, sf_dir))
+    return graph.chain(story(spark, sf_dir)).drop("src_rank", "dst_rank")
 
 
 @query
