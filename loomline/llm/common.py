@@ -39,7 +39,7 @@ def stash(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: it cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "snappy")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(at)

@@ -1,10 +1,10 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A store keeps sorted runs of (hash, documents, last holder). Each batch of documents is
-merge-anti-joined with the runs: hashes that no run holds are new and come back as such, and
-the batch's own sorted run is added at level 0. When a level has ``fan`` runs they are merged into one
-run of the next level, so a store has few runs however many batches came. The
-deduplication reads the fully compacted run.
+A store keeps sorted runs of (hash, documents, holder). Each batch of documents is
+merge-joined with the runs: hashes that no run holds are new, and the batch names their holder; the others only
+add to the count. The batch's own sorted run is added at level 0. When a level has ``fan`` runs they are merged into one
+run of the next level, so a store has few runs however many batches came. Batches come with the largest ids first, so
+a line's first holder is the one that keeps it.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ def line_key(line: Column) -> Column:
 
 
 class RunStore:
-    """Levels of sorted runs: ``h1, h2`` (128 bits of the line's hash), ``n_docs``, ``last_id``."""
+    """Levels of sorted runs: ``h1, h2`` (128 bits of the line's hash), ``n_docs``, and ``holder`` in the run that held the hash first."""
 
-    SCHEMA = "h1 long, h2 long, n_docs long, last_id long"
+    SCHEMA = "h1 long, h2 long, n_docs long, holder long"
 
     def __init__(self, spark: SparkSession, fan: int = FAN):
         self.spark, self.fan, self.levels = spark, fan, []
@@ -35,21 +35,18 @@ class RunStore:
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
-    def unseen(self, run: DataFrame) -> DataFrame:
-        """The rows of a batch's run whose hash no stored run holds."""
-        for r in self.runs():
-            run = run.join(r.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
-        return run
-
     def add(self, batch: DataFrame) -> DataFrame:
         """Take a batch of ``(h1, h2, doc_id)``, one row per line key and document; returns its hashes that are new to the store."""
-        run = batch.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_id"))
-        run = _sorted(run)
-        new = self.unseen(run)
+        run = batch.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("holder"))
+        seen = F.lit(False)
+        for i, r in enumerate(self.runs()):
+            run = run.join(r.select("h1", "h2", F.lit(True).alias(f"seen_{i}")).hint("merge"), ["h1", "h2"], "left")
+            seen |= F.col(f"seen_{i}").isNotNull()
+        run = _sorted(run.select("h1", "h2", "n_docs", F.when(~seen, F.col("holder")).alias("holder")))
         if not self.levels:
             self.levels.append([])
         self.levels[0].append(run)
-        return new
+        return run.where("holder is not null")
 
     def compact(self, full: bool = False) -> None:
         """Merge levels that are full; with ``full``, everything into one run."""
@@ -62,7 +59,7 @@ class RunStore:
                 merged = old[0]
                 for r in old[1:]:
                     merged = merged.unionByName(r)
-                merged = _sorted(merged.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id")))
+                merged = _sorted(merged.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder")))
                 self.levels[k] = []
                 if full:
                     self.levels[k] = [merged]
@@ -100,13 +97,19 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keys = base.where("doc_id is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", line_key(F.col("line")).alias("key"))
     keys = keys.where(F.length("key") >= min_chars).select(*_hashes(F.col("key")), "doc_id").distinct()
-    fed = stash(keys.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES)).cast("int")), partition_by="batch")
+    # cuts of the ids into batches of about equal size, the largest ids first
+    cuts = base.agg(F.percentile_approx("doc_id", [k / BATCHES for k in range(1, BATCHES)], 1000)).first()[0] or []
+    batch = sum((F.when(F.col("doc_id") < c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
+    fed = stash(keys.withColumn("batch", batch.cast("int")), partition_by="batch")
     store = RunStore(spark)
     for b in range(BATCHES):
         store.add(fed.where(F.col("batch") == b).select("h1", "h2", "doc_id"))
         store.compact()
-    common = stash(store.table().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_id"))
-    losing = fed.join(common, ["h1", "h2"]).where("doc_id <> last_id").groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
+    runs = store.table()
+    common = stash(runs.where(F.col("n_docs") >= min_docs).select("h1", "h2", "holder"))
+    for x in store.runs():
+        drop_stash(x)
+    losing = fed.join(common, ["h1", "h2"]).where("doc_id <> holder").groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
     joined = base.join(losing, "doc_id", "left")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("gone"), F.struct(*_hashes(line_key(x)))))
