@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import BASES, WordHashes, chunks, components, drop_stash, hashed_words, mixed, signed, stash, union_find
+from loomline.llm.common import BASES, WordHashes, chunks, components, drop_stash, hashed_words, mixed, release, signed, small_batches, stash, union_find
 
 SHINGLE = 5
 BANDS, ROWS = 64, 8
-#: Shingles of one block of a candidate cluster; a task holds at most two blocks.
-BLOCK = 40_000
+#: Shingles of one block of a candidate cluster; a task holds at most two blocks. Blocks of fewer than BLOCK_DOCS documents
+#: on average may be larger, up to BLOCK_MOST, so that clusters of few long texts are not sent over and over.
+BLOCK, BLOCK_DOCS, BLOCK_MOST = 20_000, 128, 2_000_000
 #: Steps of the permutations that are traced through the swaps; for later ones, which only short texts need, permutations are kept.
 TRACED = 16
 
@@ -97,7 +98,7 @@ def superminhash(value: np.ndarray, begins: np.ndarray, slots: int) -> np.ndarra
 
 def _signed_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
-    for batch, texts in chunks(batches, "text", 2 << 20):
+    for batch, texts in chunks(batches, "text", 1 << 20):
         value, begins = shingle_sets(texts, known)
         size = np.diff(begins)
         held = superminhash(value, begins, BANDS * ROWS).view(np.uint32).astype(np.uint64).reshape(len(texts), BANDS, ROWS)
@@ -122,6 +123,7 @@ def _confirm(unit: pd.DataFrame, threshold: int) -> pd.DataFrame:
     root = union_find(a, b, len(ids))
     root = _least_id(root, ids)
     keep = root != ids
+    release()
     return pd.DataFrame({"a": ids[keep], "b": root[keep]})
 
 
@@ -189,6 +191,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     and it is kept). Rows with the same id are one node, so all of them get the same component.
     An empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed_docs = stash(base.mapInArrow(_signed_documents, "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>"))
     named = signed_docs.where("doc_id is not null and n_shingles > 0")
@@ -199,10 +202,13 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     buckets = stash(hits.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket", "least"))
     ties = stash(hits.join(buckets, "bucket").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
     clusters = stash(components(ties))
-    drop_stash(ties)
+    for x in (classes, buckets, ties):
+        drop_stash(x)
     # verification in units of one or two blocks
     load = clusters.join(signed_docs.select(F.col("doc_id").alias("node"), "n_shingles").dropDuplicates(["node"]), "node")
-    blocks = load.groupBy("component").agg(F.ceil(F.sum("n_shingles") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    total = F.sum("n_shingles")
+    many = F.least(F.ceil(total / BLOCK), F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(total / BLOCK_MOST)))
+    blocks = load.groupBy("component").agg(many.cast("int").alias("blocks"))
     placed = clusters.join(blocks, "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("part"))
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumn("other", other)
@@ -215,7 +221,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
 
     links = stash(units.groupBy("component", "i", "j").applyInPandas(confirm, "a long, b long"))
     groups = stash(components(links))
-    drop_stash(links)
+    for x in (clusters, links):
+        drop_stash(x)
     # classes and their copies, then rows with the same id
     own = member.select("doc_id", "node").unionByName(member.select(F.col("node").alias("doc_id"), "node")).distinct()
     found = own.join(groups, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
