@@ -2,12 +2,19 @@
 
 import glob
 import os
+from collections import Counter
 
 import duckdb
+import public_tokenizers
 import pytest
+import tiktoken
 
 import corpus_pipeline
+from loomline.llm import bpe, toxicity
 from loomline.llm.queries import ORACLES, QUERIES
+from tests.llm import cases
+from tests.llm.test_dedup import brute_near
+from tests.llm.test_scores_and_text import water
 from tests.test_queries import rows
 
 SF = "/root/testdata/sf0.001"
@@ -34,17 +41,33 @@ def test_contract(spark, name):
 
 
 def test_pipeline_by_hand(spark, tmp_path):
+    """Each stage against a plain version of it, on what its predecessor kept."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    seen = [docs.count()]
-    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, SF)
-        if i + 1 < len(corpus_pipeline.STAGES):
-            assert out.columns == docs.columns, name
-        out.write.parquet(str(tmp_path / name))
+    columns, kept = docs.columns, [docs.collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
-        seen.append(docs.count())
+        if name != "byte_bpe":
+            assert docs.columns == columns, name
+        kept.append(docs.collect())
+    raw, mild, single, apart, mixed, encoded = kept
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mix_sources", "byte_bpe"]
-    assert seen[0] >= seen[1] > seen[2] >= seen[3] and seen[4] == seen[5]
-    texts = spark.read.parquet(str(tmp_path / "near_dedup")).select("text").distinct().count()
-    assert texts == seen[3]
-    assert corpus_pipeline.run(spark, SF).count() == seen[5]
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    scores = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(table, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    assert sorted(map(tuple, mild)) == sorted(tuple(r) for r in raw if not scores[r.doc_id])
+    last = {}
+    for r in mild:
+        last[cases.ascii_lower(r.text)] = max(r.doc_id, last.get(cases.ascii_lower(r.text), -1))
+    assert sorted(map(tuple, single)) == sorted(tuple(r) for r in mild if last[cases.ascii_lower(r.text)] == r.doc_id)
+    groups = brute_near([(r.doc_id, r.text) for r in single])
+    assert sorted(map(tuple, apart)) == sorted(tuple(r) for r in single if groups[r.doc_id][1] == r.doc_id)
+    size = lambda r: len(cases.words(r.text))
+    sources = sorted({r.source for r in apart})
+    have = [sum(size(r) for r in apart if r.source == s) for s in sources]
+    for s, target in zip(sources, water(have, [i % 3 + 1 for i in range(len(sources))])):
+        assert abs(sum(size(r) for r in mixed if r.source == s) - target) <= max(size(r) for r in apart if r.source == s)
+    assert {tuple(r) for r in mixed} <= {tuple(r) for r in apart} and max(Counter(map(tuple, mixed)).values()) <= 3
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    assert Counter((r.doc_id, tuple(r.token_ids)) for r in encoded) == Counter((r.doc_id, tuple(library.encode_ordinary(r.text))) for r in mixed)
+    run = corpus_pipeline.run(spark, SF).select("doc_id", "ids_sha256").collect()
+    assert sorted(map(tuple, run)) == sorted((r.doc_id, r.ids_sha256) for r in encoded)
