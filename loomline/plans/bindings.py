@@ -480,7 +480,8 @@ def s16_observation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def s21_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as partial updates of a job for each user and type."""
-    return current(job_log(spark, sf_dir)).select("job_id", "doc_id", "kind", "status", "stage", F.round("progress", 3).alias("progress"), "started_at", "finished_at")
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return current(job_log(spark, sf_dir)).select("job_id", "doc_id", "kind", "status", "stage", F.round("progress", 3).alias("progress"), at("started_at"), at("finished_at"))
 
 
 def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:

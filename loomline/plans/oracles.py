@@ -202,7 +202,7 @@ SELECT id, title, chunks, events, chunks > 0 AS naive_ready, events > 0 AS timel
     "s9_delete_cascade": "SELECT o_custkey AS doc_id, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
     "s13_s7_ordered_scan": "SELECT doc_id, CAST(generate_subscripts(ls, 1) AS INT) AS page_no, CAST(length(unnest(ls)) AS INT) AS n_chars FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)",
     "s16_observation_list": "SELECT CAST(turn + 1 AS INT) AS page_start, md5(text) AS window_id FROM conversations ORDER BY turn, md5(text) LIMIT 20",
-    "s21_job_state": f"WITH {_JOBS} SELECT job_id, doc_id, kind, status, stage, round(progress, 3) AS progress, started_at, finished_at FROM jc",
+    "s21_job_state": f"WITH {_JOBS} SELECT job_id, doc_id, kind, status, stage, round(progress, 3) AS progress, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at, strftime(finished_at, '%Y-%m-%d %H:%M:%S') AS finished_at FROM jc",
     "s21_latest_job": f"WITH {_JOBS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY started_at DESC, job_id) AS k FROM jc) SELECT doc_id, kind, job_id FROM r WHERE k = 1",
     "s22_duplicate_keys": "SELECT CAST(doc_id % 500 AS VARCHAR) AS id, count(*) AS n FROM documents GROUP BY doc_id % 500 HAVING count(*) > 1",
     "s24_health": "SELECT true AS healthy",
