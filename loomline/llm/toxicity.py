@@ -24,7 +24,7 @@ from loomline.llm.common import chunks, crc_bucket, drop_stash, mixed, small_bat
 #: Labelled texts per class that are used at most for training, in a fixed pseudo-random order of ids.
 SAMPLE = 1500
 #: Longer texts are not part of the training sample; the driver holds the sample's whole texts.
-SAMPLE_CHARS = 100_000
+SAMPLE_CHARS = 50_000
 HELD_OUT, MODULUS = 0, 5
 #: Words of a window, and words from one window's start to the next.
 WIDTH, STRIDE = 48, 32
