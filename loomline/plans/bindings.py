@@ -119,7 +119,7 @@ def t11_page_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def t12_event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = story(spark, sf_dir).withColumn("place", F.col("rank")).where("place <= 12")
+    pool = story(spark, sf_dir).withColumn("place", F.col("rank"))
     full = retrieval.event_context(pool).withColumnRenamed("context", "full")
     return full.join(retrieval.event_context(pool, slim=True), "doc_id").select("doc_id", F.md5("full").alias("full_md5"), F.md5("context").alias("slim_md5"))
 
@@ -127,7 +127,7 @@ def t12_event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def t13_t15_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = windows.char_chunks(windows.lines_as_pages(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    hits = chunks.withColumns({"place": F.col("chunk_index") + 1, "score": 1 / (F.col("chunk_index") + 2)}).where("place <= 8")
+    hits = chunks.withColumns({"place": F.col("chunk_index") + 1, "score": 1 / (F.col("chunk_index") + 2)})
     one = hits.where("place = 1").select("doc_id", F.size(text.page_list(F.col("page_start"), F.col("page_end"))).alias("n_pages"), F.md5(F.substring("content", 1, 280)).alias("preview_md5"))
     both = retrieval.passage_context(hits).withColumnRenamed("context", "full").join(retrieval.passage_context(hits, short=True), "doc_id")
     return both.join(one, "doc_id").select("doc_id", F.md5("full").alias("full_md5"), F.md5("context").alias("short_md5"), "n_pages", "preview_md5")
@@ -295,9 +295,9 @@ def g10_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def s18_graph_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each book's nodes, and its edges between known events."""
+    """Each book's nodes among the major events, and its edges between them."""
     events, _, combined = story_graph(spark, sf_dir)
-    known = events.where("first_page < 50")
+    known = events.where("category = 'major'")
     return evaluation.row_counts(known, nodes=graph.nodes(known), edges=graph.edges_between(graph.repair(combined, events), known))
 
 

@@ -107,11 +107,11 @@ WITH {_TALK} SELECT doc_id, CAST(i // 2 AS INT) AS batch, CAST(i // 4 AS INT) AS
 WITH t AS (SELECT conv_id, count(*) AS n, min(turn) + 1 AS a, max(turn) + 1 AS b FROM conversations GROUP BY conv_id)
 SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN 'n/a' WHEN n = 1 THEN 'p. ' || a ELSE 'pp. ' || a || '-' || b END AS label FROM t""",
     "t12_event_blocks": f"""
-WITH {_STORY}, b AS (SELECT *, CASE WHEN contains(source_pages, ',') THEN 'pp. ' || replace(source_pages, ',', '-') ELSE 'p. ' || source_pages END AS lab FROM s WHERE rank <= 12)
+WITH {_STORY}, b AS (SELECT *, CASE WHEN contains(source_pages, ',') THEN 'pp. ' || replace(source_pages, ',', '-') ELSE 'p. ' || source_pages END AS lab FROM s)
 SELECT doc_id, md5(string_agg('[' || rank || '] id=' || id || chr(10) || 'Event: ' || event_name || chr(10) || 'Stage: ' || timeline_anchor || chr(10) || 'What: ' || substring(core_event, 1, 240) || chr(10) || 'Source: ' || lab, chr(10) || chr(10) ORDER BY rank)) AS full_md5,
   md5(string_agg('[' || rank || '] ' || event_name || ' | ' || timeline_anchor || ' | ' || lab || chr(10) || substring(core_event, 1, 160), chr(10) || chr(10) ORDER BY rank) FILTER (rank <= 10)) AS slim_md5 FROM b GROUP BY doc_id""",
     "t13_t15_passages": f"""
-WITH {_CHUNKS}, h AS (SELECT *, chunk_index + 1 AS place, 1 / (chunk_index + 2) AS score FROM ch WHERE chunk_index < 8)
+WITH {_CHUNKS}, h AS (SELECT *, chunk_index + 1 AS place, 1 / (chunk_index + 2) AS score FROM ch)
 SELECT doc_id, md5(string_agg('[Passage ' || place || ' | similarity ' || printf('%.3f', score) || ']' || chr(10) || substring(content, 1, 420), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place)) AS full_md5,
   md5(string_agg('[Passage ' || place || ']' || chr(10) || substring(content, 1, 220), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) FILTER (place <= 3)) AS short_md5,
   CAST(max(page_end - page_start + 1) FILTER (place = 1) AS INT) AS n_pages, md5(max(substring(content, 1, 280)) FILTER (place = 1)) AS preview_md5 FROM h GROUP BY doc_id""",
@@ -156,7 +156,7 @@ SELECT * FROM f1 UNION SELECT * FROM b1 UNION SELECT d.doc_id, d.dst FROM dag d
     "g10_appears_in": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS doc_id, user_id || '::' || event_type AS character_uid, event_type AS name, CAST(event_id AS VARCHAR) AS event_id FROM events",
     "g10_characters": "SELECT DISTINCT source || '::' || lang AS character_uid, source AS doc_id, lang AS name FROM documents",
     "s18_graph_read": f"""
-WITH {_GRAPH}, k AS (SELECT doc_id, id FROM s WHERE first_page < 50), e AS (SELECT d.doc_id, count(*) AS edges FROM dag d JOIN k a ON a.doc_id = d.doc_id AND a.id = d.src JOIN k b ON b.doc_id = d.doc_id AND b.id = d.dst GROUP BY d.doc_id)
+WITH {_GRAPH}, k AS (SELECT doc_id, id FROM s WHERE category = 'major'), e AS (SELECT d.doc_id, count(*) AS edges FROM dag d JOIN k a ON a.doc_id = d.doc_id AND a.id = d.src JOIN k b ON b.doc_id = d.doc_id AND b.id = d.dst GROUP BY d.doc_id)
 SELECT doc_id, count(*) AS nodes, coalesce(max(edges), 0) AS edges FROM k LEFT JOIN e USING (doc_id) GROUP BY doc_id""",
     "v1_cosine_topk_chunks": f"WITH {_VECTORS} SELECT vec_id, round({_COSINE}, 6) AS score FROM ve, q0 ORDER BY {_COSINE} DESC, vec_id LIMIT 8",
     "v2_cosine_topk_events": f"WITH {_VECTORS} SELECT vec_id, doc_id, event_name, round({_COSINE}, 6) AS score FROM ve, q0 WHERE doc_id = q_doc ORDER BY {_COSINE} DESC, vec_id LIMIT 12",
