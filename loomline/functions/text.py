@@ -80,7 +80,7 @@ def passage_block(rank: Column, score: Column, content: Column, short: bool = Fa
     """One passage as it stands in a question's context; ``score`` counts only in the long form."""
     if short:
         return F.concat(F.lit("[Passage "), rank.cast("string"), F.lit("]\n"), F.substring(content, 1, 220))
-    return F.concat(F.lit("[Passage "), rank.cast("string"), F.lit(" | similarity "), F.format_string("%.3f", score), F.lit("]\n"), F.substring(content, 1, 420))
+    return F.concat(F.lit("[Passage "), rank.cast("string"), F.lit(" | similarity "), F.format_number(score, 3), F.lit("]\n"), F.substring(content, 1, 420))
 
 
 # What a refusing answer says, before and after the one rewrite.
