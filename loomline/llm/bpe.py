@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from loomline.llm.common import BASES, SpanHasher, chunks, mixed, release, small_batches, stash
 
 #: Bytes of text in one block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Code points whose pre-tokens are hashed at once.
 SLICE = 1 << 20
 #: Distinct words whose ids a task remembers.
@@ -152,7 +152,7 @@ class Block:
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, Block]]:
     name = TaskContext.get().partitionId() << 32
     block = Block(pattern)
-    for batch, texts in chunks(batches, "text", 1 << 20):
+    for batch, texts in chunks(batches, "text", 1 << 19):
         if block.size and block.size + sum(map(len, texts)) > BLOCK_BYTES:
             yield name, block
             name, block = name + 1, Block(pattern)
@@ -182,6 +182,7 @@ def _streams(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.Rec
             row = [pa.array([name], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([_packed(counts)], pa.binary()), pa.array([_packed(number[at : at + total])], pa.binary())]
             yield pa.RecordBatch.from_arrays(row, ["block", "ids", "counts", "stream"])
             at += total
+    release()
 
 
 def _asked(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -198,6 +199,7 @@ def _asked(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Ite
                 held = [words[i] for i in own.tolist()]
                 row = [pa.array([b], pa.int32()), pa.array([name], pa.int64()), pa.array([_packed(np.diff(own, prepend=0))], pa.binary()), pa.array([_packed(np.fromiter(map(len, held), np.int64, len(held)))], pa.binary()), pa.array([pack(b"".join(held))], pa.binary())]
                 yield pa.RecordBatch.from_arrays(row, ["bucket", "block", "numbers", "sizes", "words"])
+    release()
 
 
 def _encode_words(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern: str) -> Iterator[pa.RecordBatch]:
@@ -224,6 +226,7 @@ def _encode_words(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pa
                 counts.append(len(ids))
             out = [pa.array([row["block"]], pa.int64()), pa.array([row["numbers"]], pa.binary()), pa.array([_packed(np.array(counts))], pa.binary()), pa.array([_packed(np.array(flat, np.int64))], pa.binary())]
             yield pa.RecordBatch.from_arrays(out, ["block", "numbers", "counts", "ids"])
+    release()
 
 
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -269,7 +272,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, repeatable: bool = Fa
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     small_batches(spark)
     if not repeatable:
-        base = stash(base)
+        base = stash(base, compression="zstd")
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
     # words spread evenly over as many tasks as a shuffle has, a few buckets to each
@@ -300,8 +303,8 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
         data, begin = held.value
         data, length = np.frombuffer(data, np.uint8), np.diff(begin)
         for whole in batches:
-            for at in range(0, max(1, whole.num_rows), 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, max(1, whole.num_rows), 128):
+                batch = whole.slice(at, 128)
                 lists = batch.column(1)
                 ids = lists.flatten().to_numpy(zero_copy_only=False)
                 counts = np.array([len(x) if x is not None else 0 for x in lists], np.int64) if lists.null_count else np.diff(lists.offsets.to_numpy())
@@ -309,5 +312,6 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
                 sizes = np.concatenate([[0], np.cumsum(length[ids])])[np.concatenate([[0], np.cumsum(counts)])]
                 decoded = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(sizes.astype(np.int32)), pa.py_buffer(out)])
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists, decoded], ["doc_id", "token_ids", "decoded"])
+        release()
 
     return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, token_ids array<int>, decoded binary")

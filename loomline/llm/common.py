@@ -35,11 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def stash(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back: it cuts the lineage and outlives lost executors."""
+def stash(df: DataFrame, partition_by: str | None = None, compression: str = "none") -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back: it cuts the lineage and outlives lost executors.
+
+    Most staging tables are hashes and ids, which do not compress; without a codec the writers hold no native buffers.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "snappy")
+    writer = df.write.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(at)
