@@ -36,13 +36,13 @@ def char_chunks(pages: DataFrame, size: int = 1200, overlap: int = 200) -> DataF
     page_at = lambda pos: F.coalesce(F.try_element_at(F.filter("marks", lambda m: m["at"] <= pos), F.lit(-1))["page_no"], F.lit(1))
     length = F.length("full")
 
-    def cut(at: Column) -> Column:
-        end = F.least(at + size, length)
-        return F.struct(strip(F.substring(F.col("full"), at + 1, F.lit(size))).alias("content"), page_at(at).cast("int").alias("page_start"), page_at(F.greatest(at, end - 1)).cast("int").alias("page_end"))
-
-    kept = F.filter(F.transform(starts(length, size, overlap), cut), lambda c: c["content"] != "")
-    out = docs.select("doc_id", F.posexplode(kept).alias("chunk_index", "c"))
-    return out.select("doc_id", "chunk_index", "c.page_start", "c.page_end", "c.content")
+    # the generator stands between the joined text and its cuts, so that the text is put together once
+    at = F.col("at")
+    cuts = docs.select("doc_id", "marks", "full", length.alias("n"), F.explode(starts(length, size, overlap)).alias("at"))
+    last = F.greatest(at, F.least(at + size, F.col("n")) - 1)
+    cuts = cuts.select("doc_id", "at", strip(F.substring("full", at + 1, F.lit(size))).alias("content"), page_at(at).cast("int").alias("page_start"), page_at(last).cast("int").alias("page_end")).where("content <> ''")
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
+    return cuts.select("doc_id", index.alias("chunk_index"), "page_start", "page_end", "content")
 
 
 def page_windows(pages: DataFrame, size: int = 10, overlap: int = 2) -> DataFrame:
