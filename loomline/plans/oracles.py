@@ -212,3 +212,20 @@ SELECT CAST(o.o_custkey AS VARCHAR) AS doc_id, coalesce(nullif(CASE WHEN c_custk
     "m2_m9_stages": "SELECT DISTINCT CAST(conv_id AS VARCHAR) AS doc_id, 'Beginning / Setup/Rising Action/Midpoint / Complication/Climax/Resolution / Aftermath' AS names FROM conversations",
     "m4_closed_schema": """SELECT '{"$defs": {"x": {"additionalProperties": false, "properties": {"c": {"type": "integer"}}, "required": ["c"]}}, "additionalProperties": false, "properties": {"a": {"$ref": "#/$defs/x"}, "b": {"type": "string"}}, "required": ["a", "b"], "type": "object"}' AS schema""",
 }
+
+#: What the story's fixture cuts off, and the whole text in its place.
+_WHOLE_TEXTS = {
+    "substring(text, 1, 300) AS core_event": "text AS core_event",
+    r"string_split_regex(lower(text), '\s+')[1:40]": r"string_split_regex(lower(text), '\s+')[1:CAST(ceil(len(string_split_regex(text, '\s+')) / 2) AS BIGINT)]",
+    r"string_split_regex(text, '\s+')[1:20]": r"string_split_regex(text, '\s+')[CAST(ceil(len(string_split_regex(text, '\s+')) / 2) AS BIGINT) + 1:]",
+}
+
+
+def _whole(sql: str) -> str:
+    for cut, whole in _WHOLE_TEXTS.items():
+        sql = sql.replace(cut, whole)
+    return sql
+
+
+for _name in ("t10_event_text", "t12_event_blocks", "t16_light_index", "e6_e10_story_order", "g1_chain_edges", "g2_causal_pairs", "g3_g6_dag_edges", "g7_repair_stats", "g8_reachable", "g9_neighbours", "s18_graph_read", "x6_stage_distribution", "x6_stage_map", "x7_build_summary"):
+    ORACLES[f"{_name}_whole"] = _whole(ORACLES[_name])
