@@ -52,14 +52,15 @@ _SPELLED = re.compile(rf"(?<!\w)(?:plus[\x20-])?{_WORD_DIGIT}(?:[\x20-]{_WORD_DI
 _MAYBE_SPELLED = re.compile(rf"(?<!\w){_WORD_DIGIT}[\x20-]{_WORD_DIGIT}[\x20-]{_WORD_DIGIT}(?!\w)", re.IGNORECASE)
 _BOXED = re.compile(r"\x20?[\[({<]\x20?(at|@|dot|\.)\x20?[\])}>]\x20?", re.IGNORECASE)
 _TALKED = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: dot [A-Za-z0-9_%+-]{1,64}){0,4} at (?!(?:the|an?|this|that|its|his|her|my|our|your|their) )"
-    r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,4}(?: dot [A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,4}){1,6}(?![A-Za-z0-9-])", re.IGNORECASE
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: dot [A-Za-z0-9_%+-]{1,64}){0,4}(@| at (?!(?:the|an?|this|that|its|his|her|my|our|your|their) ))"
+    r"([A-Za-z0-9-]{1,63}(?:(?:\.| dot )[A-Za-z0-9-]{1,63}){1,34})(?![A-Za-z0-9-])", re.IGNORECASE
 )
 _AT = re.compile(r"[ ](?i:at)[ ](?=[A-Za-z0-9-]{1,63}\.)")
 _HANDLE = re.compile(r"(?<![A-Za-z0-9._%+-])(?=[A-Za-z]*[0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\Z")
 _HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,5}\.[A-Za-z]{2,24}(?![A-Za-z0-9@-])")
-_TALKED_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?dot ?[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE)
-_SIGN = re.compile(r" ?(at|dot) ?", re.IGNORECASE)
+_TALKED_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?: ?dot ?|\.)[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE)
+_SIGN = re.compile(r" (at|dot) ", re.IGNORECASE)
+_IP_SIGN = re.compile(r" ?dot ?", re.IGNORECASE)
 _PART = re.compile(r"[\x20-]")
 
 
@@ -152,12 +153,24 @@ def _unbox(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BOXED.finditer(text)]
 
 
-def _unsay(text: str) -> list[tuple[int, int, str]]:
+def _written(edits: list[tuple[int, int, str]]) -> set[int]:
+    """Where the signs of edits stand after the rewriting."""
+    out, shift = set(), 0
+    for a, b, put in edits:
+        out.add(a + shift)
+        shift += len(put) - (b - a)
+    return out
+
+
+def _unsay(text: str, boxed: set[int]) -> list[tuple[int, int, str]]:
+    """Spoken signs of an address whose ``@`` or a dot of whose host was in brackets or is spoken, and of an IP address; ``boxed`` tells where signs in brackets stood."""
     edits = []
-    for pattern in (_TALKED, _TALKED_IP):
-        for m in pattern.finditer(text):
-            signs = _SIGN if pattern is _TALKED_IP else re.compile(r" (at|dot) ", re.IGNORECASE)
-            edits += [(m.start() + s.start(), m.start() + s.end(), "@" if s[1].lower() == "at" else ".") for s in signs.finditer(m[0])]
+    for m in _TALKED.finditer(text):
+        spoken = _SIGN.search(m[2]) or any(text[i] == "." and i in boxed for i in range(m.start(2), m.end(2)))
+        if spoken or m.start(1) in boxed:
+            edits += [(m.start() + s.start(), m.start() + s.end(), "@" if s[1].lower() == "at" else ".") for s in _SIGN.finditer(m[0])]
+    for m in _TALKED_IP.finditer(text):
+        edits += [(m.start() + s.start(), m.start() + s.end(), ".") for s in _IP_SIGN.finditer(m[0])]
     edits.sort()
     return [e for i, e in enumerate(edits) if not i or e[0] >= edits[i - 1][1]]
 
@@ -184,9 +197,10 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     if not text.isascii() and _FOREIGN.search(text):
         tape.rewrite(_fold_letters(text))
     low = tape.text.lower()
-    if "dot" in low or "at" in low and _BOXED.search(tape.text):
-        tape.rewrite(_unbox(tape.text))
-        tape.rewrite(_unsay(tape.text))
+    boxed = _unbox(tape.text)
+    tape.rewrite(boxed)
+    if boxed or "dot" in low:
+        tape.rewrite(_unsay(tape.text, _written(boxed)))
     if " at " in low:
         tape.rewrite(_unspoken_at(tape.text))
     if _MAYBE_SPELLED.search(tape.text):

@@ -108,6 +108,28 @@ def test_disguises(text, kind, hidden):
     assert (text.index(hidden), pii.KINDS.index(kind), text.index(hidden) + len(hidden)) in found, found
 
 
+@pytest.mark.parametrize(
+    "text, kind, hidden",
+    [
+        ("write to jane.doe [at] example dot org now", "email", "jane.doe [at] example dot org"),
+        ("write to jane@example dot org now", "email", "jane@example dot org"),
+        ("write to jane at example (dot) org now", "email", "jane at example (dot) org"),
+        ("write to jane dot doe [at] mail.example (dot) org now", "email", "jane dot doe [at] mail.example (dot) org"),
+        ("Mail: joe [@] firm (.) com", "email", "joe [@] firm (.) com"),
+        ("host 10[.]0[.]0[.]7 is up", "ip", "10[.]0[.]0[.]7"),
+        ("host 10 dot 0 (dot) 0.7 is up", "ip", "10 dot 0 (dot) 0.7"),
+    ],
+)
+def test_mixed_disguises(text, kind, hidden):
+    _, found = pii.all_spans(text)
+    assert (text.index(hidden), pii.KINDS.index(kind), text.index(hidden) + len(hidden)) in found, found
+
+
+def test_mixed_patterns_are_linear():
+    for c in ("a@a dot ", "a [at] a dot ", "a at a (.) a", "[", "a dot "):
+        pii.all_spans(c * 3_000)
+
+
 def test_clean_text_has_no_spans():
     for text in ("He was at home. The dot on the map is one of two or three.", "un deux trois soleil", "version 1.2.3 of 2024-01-02", "meet at noon at the dot com office", "look at example.org or at home.Then go", "un un un un un un un un un un", "It was 42. Then at home.She slept"):
         assert pii.all_spans(text) == ([], [])
