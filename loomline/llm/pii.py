@@ -3,13 +3,14 @@
 Transducers rewrite a text - look-alike letters and digits to ASCII, spelled digits to
 figures, ``at`` and ``dot`` disguises to signs - and note for every written character the source
 characters that it comes from. Detection runs on both the source and the
-rewritten text; what is found there maps back to source spans and is added where no plain span lies.
+rewritten text; what is found there maps back to source spans and is added unless a plain span of its kind covers it.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -209,7 +210,8 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     if tape.start is None:
         return base, base
     found = list(base)
-    seen = [(a, b) for a, _, b in base]
+    plain = [[(a, b) for a, kind, b in base if kind == k] for k in range(len(KINDS))]
+    reach = 0
     extra = [(s, k, e) for s, k, e in plain_spans(tape.text)]
     # a row of spelled digits without a plus is a phone number if its length allows it
     shift = 0
@@ -220,10 +222,11 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
             extra.append((a, 3, a + len(put)))
     for s, k, e in sorted(extra):
         start, end = tape.start[s], tape.end[e - 1]
-        if text[start:end] == tape.text[s:e] or any(start < b and a < end for a, b in seen):
+        i = bisect_right(plain[k], (start, len(text))) - 1
+        if text[start:end] == tape.text[s:e] or start < reach or i >= 0 and plain[k][i][1] >= end:
             continue
         found.append((start, k, end))
-        seen.append((start, end))
+        reach = end
     return base, sorted(found)
 
 

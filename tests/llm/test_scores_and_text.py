@@ -125,6 +125,18 @@ def test_mixed_disguises(text, kind, hidden):
     assert (text.index(hidden), pii.KINDS.index(kind), text.index(hidden) + len(hidden)) in found, found
 
 
+@pytest.mark.parametrize("text, hidden", [("to jоhn.smith@example.com now", "jоhn.smith@example.com"), ("to john@example.cоm now", "john@example.cоm"), ("to jo\u200bhn@example.com now", "jo\u200bhn@example.com")])
+def test_disguises_around_plain_fragments(text, hidden):
+    base, found = pii.all_spans(text)
+    assert base and set(base) <= set(found) and (text.index(hidden), 0, text.index(hidden) + len(hidden)) in found, found
+
+
+def test_plain_spans_are_not_found_twice():
+    text = "a\u200b and john@example.com, 10.0.0.7, +1 415 555 0123"
+    base, found = pii.all_spans(text)
+    assert len(base) == 3 and found == base
+
+
 def test_mixed_patterns_are_linear():
     for c in ("a@a dot ", "a [at] a dot ", "a at a (.) a", "[", "a dot "):
         pii.all_spans(c * 3_000)
