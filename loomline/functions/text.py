@@ -38,12 +38,12 @@ def bullet_pages(line: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(marked, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))))
 
 
-def sanitize(text: Column, limit: int = 12000) -> Column:
-    """Control characters as spaces, runs of blanks and of empty lines shortened, then cut and stripped."""
+def sanitize(text: Column, limit: int | None = 12000) -> Column:
+    """Control characters as spaces, runs of blanks and of empty lines shortened, then cut (not if ``limit`` is None) and stripped."""
     clean = F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F\x7F-\x9F]", " ")
     clean = F.regexp_replace(clean, r"[ \t]{2,}", " ")
     clean = F.regexp_replace(clean, r"\n{3,}", "\n\n")
-    return strip(F.substring(clean, 1, limit))
+    return strip(clean if limit is None else F.substring(clean, 1, limit))
 
 
 def embedding_input(text: Column) -> Column:

@@ -59,14 +59,16 @@ def observation_block(start: Column, end: Column, text: Column) -> Column:
     return F.concat(F.lit("--- pages "), start.cast("string"), F.lit("-"), end.cast("string"), F.lit(" ---\n"), text)
 
 
-def digest(observations: DataFrame, max_chars: int = 12000) -> DataFrame:
-    """``doc_id, digest`` of ``observations(doc_id, page_start, page_end, raw_text)``: blocks from the start, middle and end within a budget."""
+def digest(observations: DataFrame, max_chars: int | None = 12000) -> DataFrame:
+    """``doc_id, digest`` of ``observations(doc_id, page_start, page_end, raw_text)``: blocks from the start, middle and end within a budget, or whole ones if ``max_chars`` is None."""
     order = Window.partitionBy("doc_id").orderBy("page_start", "page_end", "raw_text")
     n = F.count("*").over(Window.partitionBy("doc_id"))
     x = observations.withColumns({"i": F.row_number().over(order) - 1, "n": n})
     third = lambda k: F.floor(F.col("n") * k / 4)
     picked = (F.col("n") <= 8) | (F.col("i") < 2) | (F.col("i") >= F.col("n") - 2) | F.col("i").isin(third(1), third(2), third(3))
     x = x.where(picked).select("doc_id", "i", observation_block(F.col("page_start"), F.col("page_end"), F.coalesce("raw_text", F.lit(""))).alias("block"))
+    if max_chars is None:
+        return x.groupBy("doc_id").agg(ordered_text(["i"], F.col("block"), "\n\n").alias("digest"))
     used = F.coalesce(F.sum(F.length("block")).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     x = x.withColumn("left", F.lit(max_chars) - used)
     x = x.where((F.col("left") > 200) | (F.col("i") == 0))

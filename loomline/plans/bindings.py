@@ -100,6 +100,11 @@ def t5_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(text.sanitize(F.col("html"), 3000)).alias("clean_md5"))
 
 
+@query
+def t5_sanitize_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.sanitize(F.col("html"), None)).alias("clean_md5"))
+
+
 @query
 def t6_embedding_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.embedding_input(F.col("text"))).alias("input_md5"))
@@ -116,6 +121,11 @@ def t7_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.digest(talk(spark, sf_dir), 1500).select("doc_id", F.md5("digest").alias("digest_md5"))
 
 
+@query
+def t7_digest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.digest(talk(spark, sf_dir), None).select("doc_id", F.md5("digest").alias("digest_md5"))
+
+
 @query
 def t8_t9_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.batches(talk(spark, sf_dir), 2, 2).select("doc_id", "batch", "round", F.md5("text").alias("text_md5"))

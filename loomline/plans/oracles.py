@@ -229,3 +229,6 @@ def _whole(sql: str) -> str:
 
 for _name in ("t10_event_text", "t12_event_blocks", "t16_light_index", "e6_e10_story_order", "g1_chain_edges", "g2_causal_pairs", "g3_g6_dag_edges", "g7_repair_stats", "g8_reachable", "g9_neighbours", "s18_graph_read", "x6_stage_distribution", "x6_stage_map", "x7_build_summary"):
     ORACLES[f"{_name}_whole"] = _whole(ORACLES[_name])
+
+ORACLES["t5_sanitize_whole"] = ORACLES["t5_sanitize"].replace(", 1, 3000)", ", 1)")
+ORACLES["t7_digest_whole"] = ORACLES["t7_digest"].replace("1500 -", "1000000000000 -")

@@ -1,4 +1,6 @@
-"""The story's queries over whole texts, against plain Python on a small table."""
+"""Queries over whole texts, against plain Python on a small table."""
+
+import hashlib
 
 import pytest
 
@@ -47,3 +49,12 @@ def test_causal_pairs_of_whole_texts(spark, folder):
 def test_hints_of_whole_texts(spark, folder):
     order = {r.id: r.timeline_anchor for r in QUERIES["e6_e10_story_order_whole"](spark, folder).collect()}
     assert {k for k, v in order.items() if v != "en"} == {"3", "9"}
+
+
+def test_long_pages_and_conversations(spark, tmp_path):
+    long = "word " * 5000 + "end"
+    spark.createDataFrame([(1, long)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, 0, long), (1, 1, "last")], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    assert QUERIES["t5_sanitize_whole"](spark, str(tmp_path)).first().clean_md5 == md5(long)
+    assert QUERIES["t7_digest_whole"](spark, str(tmp_path)).first().digest_md5 == md5(f"--- pages 1-1 ---\n{long}\n\n--- pages 2-2 ---\nlast")
