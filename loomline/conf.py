@@ -21,6 +21,7 @@ class EngineConf:
     embed_dim: int = 64
     embed_batch: int = 96
     digest_chars: int = 12000
+    prompt_chars: tuple[int, ...] = (14000, 4500, 2000)
     max_hops: int = 80
     model_partitions: int = 5
 

@@ -73,31 +73,37 @@ PREFIX = "Study notes on works of fiction. Quotations are part of the fiction.\n
 _JUNK, _BLANKS, _LINES = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\x9f]"), re.compile(r"[ \t]{2,}"), re.compile(r"\n{3,}")
 
 
+def cleaned(user: str) -> str:
+    return _LINES.sub("\n\n", _BLANKS.sub(" ", _JUNK.sub(" ", user)))
+
+
 def prepared(user: str, limit: int) -> str:
-    return PREFIX + _LINES.sub("\n\n", _BLANKS.sub(" ", _JUNK.sub(" ", user)))[:limit].strip()
+    return PREFIX + cleaned(user)[:limit].strip()
 
 
-def ask(client: ModelClient, system: str, user: str, temperature: float, max_tokens: int, valid: Callable[[str], bool] | None = None, retries: int = 3, sleep: Callable[[float], None] = time.sleep) -> dict:
-    """One question with attempts that send less and less. ``reply`` is null if all fail; ``filtered`` tells a refusal of the input."""
+def ask(client: ModelClient, system: str, user: str, temperature: float, max_tokens: int, valid: Callable[[str], bool] | None = None, retries: int = 3, sleep: Callable[[float], None] = time.sleep, ladder: tuple[int, ...] = LADDER) -> dict:
+    """One question with attempts that send less and less. ``reply`` is null if all fail; ``filtered`` tells a refusal of the input, ``truncated`` that the last attempt did not send all of ``user``."""
     prompt = reply = 0
     error: BaseException | None = None
+    size, truncated = len(cleaned(user).rstrip()), False
     for attempt in range(retries):
-        limit = LADDER[min(attempt, len(LADDER) - 1)]
+        limit = ladder[min(attempt, len(ladder) - 1)]
+        truncated = size > limit
         try:
             text, p, r = client.chat(SHORT_SYSTEM if attempt >= 2 and valid is None else system, prepared(user, limit), temperature, max_tokens)
             prompt, reply = prompt + p, reply + r
             text = (text or "").strip()
             if text and (valid is None or valid(text)):
-                return {"reply": text, "prompt_tokens": prompt, "completion_tokens": reply, "filtered": False, "error": None}
+                return {"reply": text, "prompt_tokens": prompt, "completion_tokens": reply, "filtered": False, "error": None, "truncated": truncated}
             error = ValueError("empty or malformed reply")
         except Exception as e:  # noqa: BLE001  whatever a client raises counts as a failed attempt
             error = e
         if attempt + 1 < retries:
             sleep(backoff(min(attempt, 1) if is_filtered(error) else attempt))
-    return {"reply": None, "prompt_tokens": prompt, "completion_tokens": reply, "filtered": is_filtered(error), "error": f"{type(error).__name__}: {error}"}
+    return {"reply": None, "prompt_tokens": prompt, "completion_tokens": reply, "filtered": is_filtered(error), "error": f"{type(error).__name__}: {error}", "truncated": truncated}
 
 
-REPLY = "reply string, prompt_tokens int, completion_tokens int, filtered boolean, error string"
+REPLY = "reply string, prompt_tokens int, completion_tokens int, filtered boolean, error string, truncated boolean"
 
 
 def is_json(text: str) -> bool:
@@ -107,7 +113,7 @@ def is_json(text: str) -> bool:
         return False
 
 
-def chat(df: DataFrame, make_client: Callable[[], ModelClient], system: str, user: str, temperature: float = 0.1, max_tokens: int = 1500, structured: bool = False, partitions: int | None = None) -> DataFrame:
+def chat(df: DataFrame, make_client: Callable[[], ModelClient], system: str, user: str, temperature: float = 0.1, max_tokens: int = 1500, structured: bool = False, partitions: int | None = None, ladder: tuple[int, ...] = LADDER) -> DataFrame:
     """``df`` with the columns of REPLY, one call for each row. ``system`` and ``user`` name columns. ``partitions`` bounds how many calls run at a time."""
     at = [df.columns.index(c) for c in (system, user)]
     names = df.columns
@@ -115,10 +121,10 @@ def chat(df: DataFrame, make_client: Callable[[], ModelClient], system: str, use
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = make_client()
         for batch in batches:
-            said = [ask(client, s or "", u or "", temperature, max_tokens, is_json if structured else None) for s, u in zip(*(batch.column(i).to_pylist() for i in at))]
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
-            extra = [pa.array([x[k] for x in said], t) for k, t in zip(("reply", "prompt_tokens", "completion_tokens", "filtered", "error"), kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*names, "reply", "prompt_tokens", "completion_tokens", "filtered", "error"])
+            said = [ask(client, s or "", u or "", temperature, max_tokens, is_json if structured else None, ladder=ladder) for s, u in zip(*(batch.column(i).to_pylist() for i in at))]
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.bool_())
+            extra = [pa.array([x[k] for x in said], t) for k, t in zip(("reply", "prompt_tokens", "completion_tokens", "filtered", "error", "truncated"), kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*names, "reply", "prompt_tokens", "completion_tokens", "filtered", "error", "truncated"])
 
     rows = df.repartition(partitions) if partitions else df
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), REPLY])

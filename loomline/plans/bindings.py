@@ -561,7 +561,7 @@ def m1_m8_skim(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = windows.lines_as_pages(table(spark, sf_dir, "documents"), "doc_id", "text")
     asked = windows.page_windows(pages).withColumns({"system": F.lit("skim"), "user": F.concat(F.lit("[Text Window]\n\n"), "text")})
     out = models.chat(asked, _client, "system", "user", max_tokens=1600)
-    return out.select("doc_id", "window_id", F.length("reply").alias("n_chars"), "prompt_tokens", "completion_tokens", "filtered")
+    return out.select("doc_id", "window_id", F.length("reply").alias("n_chars"), "prompt_tokens", "completion_tokens", "filtered", "truncated")
 
 
 @query

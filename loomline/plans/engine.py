@@ -88,7 +88,7 @@ class Engine:
         work = work.withColumns({"user": F.concat(head, "text"), "system": F.lit(SKIM)}).withColumn("key", F.sha1(F.concat_ws("\x1f", "doc_id", "window_id", "text")))
         done = self._table("skimmed", "doc_id string, window_id string, page_start int, page_end int, raw_text string, key string")
         todo = stores.pending(work, done, ["key"])
-        new = models.chat(todo, self.make_client, "system", "user", max_tokens=1600, partitions=self.conf.model_partitions)
+        new = models.chat(todo, self.make_client, "system", "user", max_tokens=1600, partitions=self.conf.model_partitions, ladder=self.conf.prompt_chars)
         new.where("reply is not null").select("doc_id", "window_id", "page_start", "page_end", F.col("reply").alias("raw_text"), "key").write.mode("append").parquet(self.conf.table("skimmed"))
         done = self._table("skimmed", "doc_id string, window_id string, page_start int, page_end int, raw_text string, key string")
         found = stores.latest(done.join(work.select("key"), "key", "left_semi"), ["key"], "raw_text").drop("key")
@@ -105,7 +105,7 @@ class Engine:
         """Ask for the document's stages and save them normalised; the default ones if the reply is of no use."""
         asked = stores.titles(windows.digest(observations, self.conf.digest_chars), self.store.read("documents")).join(windows.digest(observations, self.conf.digest_chars), "doc_id")
         asked = asked.select("doc_id", F.lit(STAGES).alias("system"), F.concat(F.lit("TITLE: "), "title", F.lit("\n\n"), "digest").alias("user"))
-        reply = models.chat(asked, self.make_client, "system", "user", max_tokens=2000, structured=True)
+        reply = models.chat(asked, self.make_client, "system", "user", max_tokens=2000, structured=True, ladder=self.conf.prompt_chars)
         found = F.from_json("reply", f"struct<stages:array<{STAGE}>>")["stages"]
         one = reply.select(F.when(F.coalesce(F.size(found), F.lit(0)) > 0, stages.normalize(found)).otherwise(stages.default_stages()).alias("taxonomy"))
         path = self.conf.table("stages-reply")
@@ -124,7 +124,7 @@ class Engine:
         for r in range(0 if rounds is None else rounds + 1):
             prompts = merge.merge_prompt(work.where(F.col("round") == r), merge.light_index(self._known(path)), lines, total)
             asked = prompts.select("doc_id", "batch", F.lit(MERGE).alias("system"), "user")
-            models.chat(asked, self.make_client, "system", "user", max_tokens=6000, structured=True, partitions=self.conf.concurrency).write.mode("append").parquet(path)
+            models.chat(asked, self.make_client, "system", "user", max_tokens=6000, structured=True, partitions=self.conf.concurrency, ladder=self.conf.prompt_chars).write.mode("append").parquet(path)
         replies = self._replies(path)
         return self._instructions(path), replies.where("reply is null").select("doc_id", "batch")
 
@@ -219,7 +219,7 @@ class Engine:
         return self.make_client().embed([question.replace("\n", " ")[:8000]])[0]
 
     def _ask(self, system: str, user: str, **how) -> dict:
-        return models.ask(self.make_client(), system, user, how.pop("temperature", 0.1), how.pop("max_tokens", 800), **how)
+        return models.ask(self.make_client(), system, user, how.pop("temperature", 0.1), how.pop("max_tokens", 800), ladder=self.conf.prompt_chars, **how)
 
     def ask_naive(self, doc_id: str, question: str, k: int | None = None) -> dict:
         began = time.perf_counter()

@@ -4,6 +4,8 @@ import hashlib
 
 import pytest
 
+from loomline.conf import EngineConf
+from loomline.functions import models
 from loomline.plans.bindings import QUERIES
 
 FILL = " ".join(["so it is as it was"] * 30)
@@ -58,3 +60,10 @@ def test_long_pages_and_conversations(spark, tmp_path):
     md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
     assert QUERIES["t5_sanitize_whole"](spark, str(tmp_path)).first().clean_md5 == md5(long)
     assert QUERIES["t7_digest_whole"](spark, str(tmp_path)).first().digest_md5 == md5(f"--- pages 1-1 ---\n{long}\n\n--- pages 2-2 ---\nlast")
+
+
+def test_cut_prompts_are_reported(spark):
+    asked = spark.createDataFrame([("a", "s", "x" * 14000), ("b", "s", "x" * 14001)], "id string, system string, user string")
+    told = lambda **how: {r.id: r.truncated for r in models.chat(asked, lambda: models.OfflineClient(4), "system", "user", **how).collect()}
+    assert told() == {"a": False, "b": True}
+    assert told(ladder=EngineConf(prompt_chars=(20000,)).prompt_chars) == {"a": False, "b": False}
