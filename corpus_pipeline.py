@@ -34,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, and digests of the ids and of the text decoded from them."""
-    return token_digests(docs, repeatable=True, keep_ids=True)
+    return token_digests(docs, keep_ids=True)
 
 
 STAGES = [("toxicity", toxicity_filter), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("byte_bpe", tokenize)]

@@ -1,12 +1,15 @@
 """Byte-level BPE encoding and decoding over the corpus' distinct words.
 
-Each task cuts its texts into pre-tokens and notes, block by block, the distinct ones with a
-block-local number and every text's sequence of numbers (the positions). The distinct words of all blocks
-meet in one shuffle by word, where each is encoded once; its ids go back to the
-blocks that asked, and each block reassembles its texts by position. Positions
-cross the network once, as compressed numbers; a word crosses once per block, not once per
+One pass cuts the texts into pre-tokens and notes, block by block, the distinct ones with a
+block-local number and every text's sequence of numbers (the positions). The words of all blocks
+meet in one shuffle by word: there each distinct word of the corpus is encoded once, and its ids are joined back to the
+blocks that hold it. Each block then reassembles its texts by position. Positions
+never cross the network: they wait in a table that is bucketed by block. A word crosses once per block, not once per
 occurrence, which also keeps frequent words from making a hot partition.
 
+Words are the same when their bytes are. Up to 15 bytes make an exact key of 128 bits; longer words are
+compared as bytes.
+
 Decoding joins ids with the table of token bytes. That table is bounded by the
 vocabulary, so every task holds it and the join is a lookup.
 """
@@ -26,14 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import BASES, SpanHasher, chunks, mixed, release, small_batches, stash
+from loomline.llm.common import BASES, chunks, mixed, release, small_batches, stash_bucketed
 
 #: Bytes of text in one block.
-BLOCK_BYTES = 4 << 20
-#: Code points whose pre-tokens are hashed at once.
-SLICE = 1 << 20
-#: Distinct words whose ids a task remembers.
-REMEMBERED = 500_000
+BLOCK_BYTES = 8 << 20
+#: Bytes of a word that its key holds; longer words are numbered.
+KEY_BYTES = 15
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -92,19 +93,49 @@ def cut(codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return starts
 
 
+def exact_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray, long_words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a key for each word of ``data``; words have the same key if and only if they have the same bytes.
+
+    The key of a short word is its bytes and its length, that of a longer one its number in ``long_words``.
+    """
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded.data, strides=(1,))  # the eight bytes from each place on
+    mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    low = eight[start] & mask[np.minimum(size, 8)]
+    high = eight[np.minimum(start + 8, len(eight) - 1)] & mask[np.clip(size - 8, 0, KEY_BYTES - 8)]
+    high |= np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
+    for i in np.flatnonzero(size > KEY_BYTES).tolist():
+        word = data[start[i] : start[i] + size[i]].tobytes()
+        low[i], high[i] = long_words.setdefault(word, len(long_words)), 255 << 56
+    return low, high
+
+
+def group_keys(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal pairs: the first place, every pair's group, and the groups' sizes."""
+    _, first, group, count = np.unique(mixed(low ^ mixed(high + np.uint64(BASES[0]))), return_index=True, return_inverse=True, return_counts=True)
+    if (low != low[first][group]).any() or (high != high[first][group]).any():  # two pairs share a hash: sort the pairs themselves
+        order = np.lexsort((low, high))
+        new = np.ones(len(order), bool)
+        new[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        first, count = order[new], np.bincount(group)
+    return first, group, count
+
+
 class Block:
-    """The pre-tokens of some texts: their hashes in order, and where to find each one's characters."""
+    """The pre-tokens of some texts: their keys in order, and where to find each one's bytes."""
 
     def __init__(self, pattern: str):
         self.pattern = pattern
         self.parts: list[tuple] = []
+        self.long_words: dict[bytes, int] = {}
         self.size = 0
 
     def add(self, ids: pa.Array, texts: list[bytes]) -> None:
         whole = [t.decode() for t in texts]
         begins = np.cumsum([0, *map(len, whole)])
-        text = "".join(whole)
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), np.uint32)
         if self.pattern == PATTERN:
             start = np.flatnonzero(cut(codes, begins))
         else:
@@ -114,38 +145,31 @@ class Block:
             free = classes()[codes] == _FREE
             spans = [[0] if free[a:b].any() else [m.start() for m in find(t)] for t, a, b in zip(whole, begins, begins[1:])]
             start = np.concatenate([np.array(x, np.int64) + a for x, a in zip(spans, begins)] or [np.zeros(0, np.int64)]).astype(np.int64)
-        end = np.append(start[1:], len(codes))[: len(start)]
-        keys = [np.empty(len(start), np.uint64) for _ in range(2)]
-        i = 0
-        while i < len(start):  # a slice of pre-tokens at a time, so that a very long text needs little more memory than itself
-            j = max(i + 1, int(np.searchsorted(start, start[i] + SLICE)))
-            a, b = start[i:j] - start[i], end[i:j] - start[i]
-            wide = codes[start[i] : end[j - 1]].astype(np.uint64) + np.uint64(1)
-            for key, base in zip(keys, BASES):
-                key[i:j] = mixed(SpanHasher(wide, base)(a, b) + (b - a).astype(np.uint64))
-            i = j
-        self.parts.append((ids, np.diff(np.searchsorted(start, begins)), text, start.astype(np.int32), end.astype(np.int32), *keys))
-        self.size += sum(map(len, texts))
+        counts = np.diff(np.searchsorted(start, begins))
+        data = b"".join(texts)
+        if len(data) != len(codes):  # from code points to bytes
+            width = 1 + (codes >= 0x80).astype(np.int8) + (codes >= 0x800) + (codes >= 0x10000)
+            start = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])[start]
+        size = np.diff(np.append(start, len(data)))[: len(start)]
+        keys = exact_keys(np.frombuffer(data, np.uint8), start, size, self.long_words)
+        self.parts.append((ids, counts, data, start.astype(np.int32), size.astype(np.int32), *keys))
+        self.size += len(data)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Each pre-token's number, frequent ones first, and for each number one place where it stands."""
-        keys = np.concatenate([p[5] for p in self.parts])
-        _, first, number, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        second = np.concatenate([p[6] for p in self.parts])
-        if (second != second[first][number]).any():
-            raise ValueError("two pre-tokens have the same hash; encode with other BASES")
-        order = np.lexsort((keys[first], -count))
+        first, group, count = group_keys(*(np.concatenate([p[i] for p in self.parts]) for i in (5, 6)))
+        order = np.lexsort((first, -count))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        return rank[number], first[order]
+        return rank[group], first[order]
 
     def words(self, places: np.ndarray) -> list[bytes]:
         edges = np.cumsum([0, *(len(p[3]) for p in self.parts)])
         part = np.searchsorted(edges, places, "right") - 1
         out: list[bytes] = []
         for p, i in zip(part.tolist(), (places - edges[part]).tolist()):
-            _, _, text, start, end, *_ = self.parts[p]
-            out.append(text[start[i] : end[i]].encode())
+            _, _, data, start, size, *_ = self.parts[p]
+            out.append(data[start[i] : start[i] + size[i]])
         return out
 
 
@@ -172,55 +196,56 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def _streams(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
-    """For some texts at a time: their ids, their numbers of pre-tokens, and the pre-tokens' numbers in order (the positions)."""
+#: Rows of cut texts. Without a bucket: some texts' ids, their numbers of pre-tokens, and the pre-tokens' numbers in order (the positions).
+#: With one: the block's words of that bucket, their numbers and lengths.
+CUT = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("numbers", pa.binary()), ("counts", pa.binary()), ("words", pa.binary())])
+CUT_DDL = "block long, bucket int, ids array<long>, numbers binary, counts binary, words binary"
+
+
+def _cut_blocks(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3).compress
     for name, block in _blocks(batches, pattern):
-        number, _ = block.distinct()
+        number, places = block.distinct()
+        words = block.words(places)
         at = 0
         for ids, counts, *_ in block.parts:
             total = int(counts.sum())
-            row = [pa.array([name], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([_packed(counts)], pa.binary()), pa.array([_packed(number[at : at + total])], pa.binary())]
-            yield pa.RecordBatch.from_arrays(row, ["block", "ids", "counts", "stream"])
+            yield pa.RecordBatch.from_pylist([{"block": name, "ids": ids.to_pylist(), "numbers": _packed(number[at : at + total]), "counts": _packed(counts)}], CUT)
             at += total
-    release()
-
-
-def _asked(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[pa.RecordBatch]:
-    """For each block and bucket of words: the words' numbers in the block, their lengths, and the words."""
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for name, block in _blocks(batches, pattern):
-        words = block.words(block.distinct()[1])
+        block.parts.clear()
         bucket = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in words), np.int64, len(words))
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = []
         for b in range(buckets):
             own = order[edges[b] : edges[b + 1]]
             if len(own):
                 held = [words[i] for i in own.tolist()]
-                row = [pa.array([b], pa.int32()), pa.array([name], pa.int64()), pa.array([_packed(np.diff(own, prepend=0))], pa.binary()), pa.array([_packed(np.fromiter(map(len, held), np.int64, len(held)))], pa.binary()), pa.array([pack(b"".join(held))], pa.binary())]
-                yield pa.RecordBatch.from_arrays(row, ["bucket", "block", "numbers", "sizes", "words"])
+                rows.append({"block": name, "bucket": b, "numbers": _packed(np.diff(own, prepend=0)), "counts": _packed(np.fromiter(map(len, held), np.int64, len(held))), "words": pack(b"".join(held))})
+        yield pa.RecordBatch.from_pylist(rows, CUT)
     release()
 
 
 def _encode_words(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern: str) -> Iterator[pa.RecordBatch]:
-    """Ids of the words. All askers of a word are in this task, which encodes it once and remembers it."""
+    """Ids of the words. Rows come by bucket, so all holders of a word follow each other: it is encoded once."""
     import tiktoken
 
     encode = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     unpack = zstandard.ZstdDecompressor().decompress
     known: dict[bytes, list[int]] = {}
+    bucket = None
     for batch in batches:
         for row in batch.to_pylist():
+            if row["bucket"] != bucket:
+                bucket = row["bucket"]
+                known.clear()
             data = unpack(row["words"])
-            ends = np.cumsum(_unpacked(row["sizes"])).tolist()
             flat, counts, at = [], [], 0
-            for end in ends:
+            for end in np.cumsum(_unpacked(row["counts"])).tolist():
                 word = data[at:end]
                 at = end
                 ids = known.get(word)
                 if ids is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
                     ids = known[word] = encode(word.decode())
                 flat += ids
                 counts.append(len(ids))
@@ -249,7 +274,7 @@ def _assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
     starts[number], sizes[number] = np.cumsum(count) - count, count
     names, tokens, lengths = [], [], []
     for row in docs.to_pylist():
-        stream, pieces = _unpacked(row["stream"]), _unpacked(row["counts"])
+        stream, pieces = _unpacked(row["numbers"]), _unpacked(row["counts"])
         tokens.append(flat[spread(starts[stream], sizes[stream])])
         upto = np.concatenate([[0], np.cumsum(sizes[stream])])[np.concatenate([[0], np.cumsum(pieces)])]
         lengths.append(np.diff(upto))
@@ -260,36 +285,29 @@ def _assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(names, pa.int64()), "token_ids": lists})
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, repeatable: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``doc_id, token_ids``: every whole text as token ids, one row per input row.
 
-    ``docs`` needs ``doc_id`` and ``text``; null counts as empty and gives an empty
-    list. The texts are read twice and must come in the same partitions and order both times:
-    a plain scan of files does (``repeatable=True``); anything else is written to a
-    table first. Rows may share an id; ids may be null. An empty table gives an empty table.
+    ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Null counts as empty and gives an empty
+    list. Rows may share an id; ids may be null. A text of any length stays in one block, which is then as large as the text. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     small_batches(spark)
-    if not repeatable:
-        base = stash(base, compression="zstd")
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
-
     # words spread evenly over as many tasks as a shuffle has, a few buckets to each
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def asked_of(batches):
-        return _asked(batches, pattern, buckets)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def streams_of(batches):
-        return _streams(batches, pattern)
+    def cut_of(batches):
+        return _cut_blocks(batches, pattern, 4 * tasks)
 
     def ids_of(batches):
         return _encode_words(batches, ranks.value, pattern)
 
-    asked = base.mapInArrow(asked_of, "bucket int, block long, numbers binary, sizes binary, words binary")
-    told = asked.repartition("bucket").mapInArrow(ids_of, "block long, numbers binary, counts binary, ids binary")
-    texts = base.mapInArrow(streams_of, "block long, ids array<long>, counts binary, stream binary")
+    held = stash_bucketed(base.mapInArrow(cut_of, CUT_DDL), "block")
+    asked = held.where("bucket is not null").select("bucket", "block", "numbers", "counts", "words")
+    told = asked.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(ids_of, "block long, numbers binary, counts binary, ids binary")
+    texts = held.where("bucket is null").select("block", "ids", "numbers", "counts")
     return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_assemble, "doc_id long, token_ids array<int>")
 
 

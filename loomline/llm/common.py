@@ -27,9 +27,12 @@ CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; a temporary one only where none is configured and all of Spark is one local process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="loomline-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -51,9 +54,30 @@ def stash(df: DataFrame, partition_by: str | None = None, compression: str = "no
     return out
 
 
+def stash_bucketed(df: DataFrame, *by: str, ordered: bool = False, compression: str = "none") -> DataFrame:
+    """Like ``stash``, in one bucket of ``by`` for each shuffle partition: joins and groupings on ``by`` read it without a shuffle.
+
+    With ``ordered``, rows are sorted by ``by`` in each bucket and joins need no sort either, if each bucket is one file, as it is
+    for results that were shuffled by the same columns.
+    """
+    spark = df.sparkSession
+    name = f"loomline_{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stash-{name}"
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    writer = df.write.format("parquet").option("path", at).option("compression", compression).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *by)
+    if ordered:
+        writer = writer.sortBy(*by)
+    writer.saveAsTable(name)
+    out = spark.table(name)
+    out._stash_path, out._stash_table = at, name
+    return out
+
+
 def drop_stash(df: DataFrame) -> None:
     """Delete a stashed table that no pending plan reads any more."""
     spark = df.sparkSession
+    if hasattr(df, "_stash_table"):
+        spark.sql(f"DROP TABLE IF EXISTS {df._stash_table}")
     path = spark._jvm.org.apache.hadoop.fs.Path(df._stash_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -167,7 +191,7 @@ def text_key(text: Column) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (long ids): ``node, component`` with the smallest reachable id.
 
-    Each task first contracts its own edges by union-find; then rounds of
+    Each batch of edges is first contracted by union-find where it lies; then rounds of
     large-star and small-star joins run until nothing changes. Every round is
     a written table, so a lost executor never forces the earlier rounds to run
     again. Nothing about the links reaches the driver except one count.
@@ -188,7 +212,7 @@ def components(edges: DataFrame) -> DataFrame:
         for x in (now, least, large, low):
             drop_stash(x)
         now, before = new, mark
-        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("double"))).first()
+        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if mark == before:
             roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -75,18 +75,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
-def token_digests(docs: DataFrame, repeatable: bool, keep_ids: bool = False) -> DataFrame:
+def token_digests(docs: DataFrame, keep_ids: bool = False) -> DataFrame:
     """Encode and decode, and the digests of both."""
     import public_tokenizers
 
     path = public_tokenizers.path(RANKS)
-    out = decode(encode(docs, path, public_tokenizers.PATTERN, repeatable=repeatable), path)
+    out = decode(encode(docs, path, public_tokenizers.PATTERN), path)
     ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *(["token_ids"] if keep_ids else []))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digests(_documents(spark, sf_dir), repeatable=True)
+    return token_digests(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_quality, op3_personal_data, op4_quality_rules, op5_exact_dedup, op6_line_dedup, op7_mixing, op8_near_duplicates, op9_toxicity, op10_byte_bpe)}

@@ -40,6 +40,31 @@ def test_bpe_many_blocks_and_other_patterns(spark, library, monkeypatch):
         assert {r.doc_id: r.token_ids for r in bpe.encode(df, RANKS, pattern).collect()} == want
 
 
+def test_bpe_tells_words_apart_that_collide_in_polynomial_hashes(spark, library):
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), word[:15], word[:16], word[:15] + "\0", word[:7], word[:8], word[:7] + "\0"]
+    got = {r.doc_id: (r.token_ids, bytes(r.decoded)) for r in bpe.decode(bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), RANKS, public_tokenizers.PATTERN), RANKS).collect()}
+    assert got == {i: (library.encode_ordinary(t), t.encode()) for i, t in enumerate(texts)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(max_size=20).map(lambda x: bytes(c % 2 for c in x)), min_size=1, max_size=30))
+def test_keys_are_equal_when_bytes_are(words):
+    size = np.array(list(map(len, words)))
+    low, high = bpe.exact_keys(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size, {})
+    assert [[(a, b) == (c, d) for a, b in zip(low, high)] for c, d in zip(low, high)] == [[a == b for a in words] for b in words]
+
+
+def test_pairs_that_share_a_hash_are_grouped_by_value(monkeypatch):
+    low, high = np.array([3, 1, 3, 2, 1], np.uint64), np.array([0, 5, 0, 5, 6], np.uint64)
+    for mixing_of in (bpe.mixed, lambda x: x & np.uint64(1)):
+        monkeypatch.setattr(bpe, "mixed", mixing_of)
+        first, group, count = bpe.group_keys(low, high)
+        assert sorted(first) == [0, 1, 3, 4] and group[0] == group[2] and len(set(group)) == 4 and sorted(count) == [1, 1, 1, 2] and (first[group] == [0, 1, 0, 3, 4]).all()
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab's rtvelld'  \n\t1٣.,!é中\x1c\x85\xa0 ͸"), max_size=25), min_size=1, max_size=3))
 def test_cut_is_the_pattern(texts):
@@ -55,7 +80,7 @@ def test_cut_is_the_pattern(texts):
 
 def test_token_digests(spark, library):
     text = "it's 5 o'clock  here"
-    r = token_digests(spark.createDataFrame([(1, text)], "doc_id long, text string"), repeatable=True).first()
+    r = token_digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     ids = library.encode_ordinary(text)
     assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
