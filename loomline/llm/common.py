@@ -158,24 +158,53 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: The modulus of span hashes, a prime. (Modulo a power of two, texts of two words that alternate in a certain order would collide for every base.)
+PRIME = (1 << 61) - 1
+_P, _LOW, _29, _32, _61 = np.uint64(PRIME), np.uint64(0xFFFFFFFF), np.uint64(29), np.uint64(32), np.uint64(61)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of values below it."""
+    a1, a0, b1, b0 = a >> _32, a & _LOW, b >> _32, b & _LOW
+    middle, low = a1 * b0 + a0 * b1, a0 * b0
+    return _reduced((low & _P) + (low >> _61) + (a1 * b1 << np.uint64(3)) + (middle >> _29) + ((middle & np.uint64((1 << 29) - 1)) << _32))
+
+
 class SpanHasher:
-    """Hashes of any spans of one array of word hashes, in constant time each (polynomial over 2**64 with an invertible base)."""
+    """Hashes of any spans of one array of word hashes, in constant time each (polynomial modulo a prime of 61 bits)."""
+
+    _powers: dict[int, np.ndarray] = {}
 
     def __init__(self, words: np.ndarray, base: int):
         n = len(words)
-        step = np.full(n + 1, base, np.uint64)
-        step[0] = 1
-        power = np.cumprod(step)
-        step[1:] = np.uint64(pow(base, -1, 1 << 64))
-        self.inverse = np.cumprod(step)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(words * power[:n], out=self.sums[1:])
+        base %= PRIME
+        self.inverse = self._power(pow(base, -1, PRIME), n + 1)
+        held = _times(_reduced(words), self._power(base, n + 1)[:n])
+        # running sums of the halves do not overflow
+        low, high = (np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (held & _LOW, held >> _32))
+        self.sums = _reduced(_times(_reduced(high), np.full(n + 1, 1 << 32, np.uint64)) + low)
+
+    @classmethod
+    def _power(cls, base: int, n: int) -> np.ndarray:
+        """base**0, base**1, ...; remembered, and doubled when more are needed."""
+        held = cls._powers.get(base)
+        if held is None:
+            held = np.ones(1, np.uint64)
+        while len(held) < n:
+            held = np.concatenate([held, _times(held, np.full(len(held), pow(base, len(held), PRIME), np.uint64))])
+        cls._powers[base] = held
+        return held[:n]
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * self.inverse[start])
+        return mixed(_times(_reduced(self.sums[end] + (_P - self.sums[start])), self.inverse[start]))
 
 
-#: Odd multipliers, one per independent family of span hashes.
+#: Multipliers, one per independent family of hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
