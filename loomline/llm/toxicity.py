@@ -22,15 +22,16 @@ from pyspark.sql import functions as F
 from loomline.llm.common import chunks, crc_bucket, drop_stash, mixed, small_batches, stash
 
 #: Labelled texts per class that are used at most for training, in a fixed pseudo-random order of ids.
-SAMPLE = 1500
-#: Longer texts are not part of the training sample; the driver holds the sample's whole texts.
+SAMPLE = 3000
+#: Labelled rows with longer texts are not picked for the sample; the driver holds the sample's whole texts.
 SAMPLE_CHARS = 50_000
 HELD_OUT, MODULUS = 0, 5
 #: Words of a window, and words from one window's start to the next.
 WIDTH, STRIDE = 48, 32
 HIDDEN, DIM = 8, 16
 WORD_ROWS, GRAM_ROWS = 1 << 14, 1 << 13
-EPOCHS, BATCH, RATE = 3, 64, 0.05
+#: Rounds over the windows; small samples are read up to ten times, until STEPS batches.
+EPOCHS, BATCH, RATE, STEPS = 2, 128, 0.07, 300
 SEED = 5
 #: Different sampled texts that must hold a word before it gets a vector.
 MIN_TEXTS = 8
@@ -204,11 +205,12 @@ class Network:
         return _sigmoid(a * np.maximum.reduceat(logits, begins[:-1]).astype(np.float64) + b)
 
 
-def train(texts: list[bytes], toxic: np.ndarray) -> Network:
+def train(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray | None = None) -> Network:
     """Fit the network on windows of labelled texts, then the slope and offset of the texts' scores.
 
-    A window of a toxic text need not be toxic itself, so after the first round a toxic text teaches by its highest window (and
-    others that score high), a clean one by all its windows.
+    Every round reads every window of every clean text. A window of a toxic text need not be toxic itself: the first round
+    takes all of them, later ones each toxic text's highest window. ``weight`` has the labelled rows that each text stands for, so that
+    scores are calibrated to the labels' own share of toxic texts and not to the sample's.
     """
     net = Network()
     if not len(texts) or toxic.min() == toxic.max():
@@ -227,22 +229,18 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Network:
     owner, start = [], []
     for i, n in enumerate(numbers):
         s = windows_of(len(n))
-        s = s if len(s) <= 12 else s[np.linspace(0, len(s) - 1, 12).astype(int)] if not toxic[i] else s
         owner += [i] * len(s)
         start += s.tolist()
     owner, start = np.array(owner), np.array(start)
     label = toxic[owner].astype(np.float32)
     squares = {k: np.full_like(v, 1e-6) for k, v in net.p.items()}
-    for epoch in range(EPOCHS):
+    for epoch in range(min(10, max(EPOCHS, -(-STEPS * BATCH // len(owner))))):
         use = np.arange(len(owner))
         if epoch:
             logits = _window_logits(net, numbers, owner, start, rows, grams, begins)
             top = np.full(len(texts), -np.inf)
             np.maximum.at(top, owner, logits)
-            # of each text the highest window, and of clean ones some others
-            use = use[(logits >= top[owner]) | ((label == 0) & (rng.random(len(label)) < 0.15))]
-        else:
-            use = use[(label == 1) | (rng.random(len(label)) < 0.3)]
+            use = use[(label == 0) | (logits >= top[owner])]
         use = rng.permutation(use)
         for i in range(0, len(use), BATCH):
             b = use[i : i + BATCH]
@@ -253,13 +251,10 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Network:
             own = np.concatenate([grams[begins[k] : begins[k + 1]] for k in kinds])
             x = net.embed(rows[kinds], own, np.concatenate([[0], np.cumsum(count)]))
             g, dx = net.gradients(x[place], mask, label[b])
-            dk = np.zeros_like(x)
-            np.add.at(dk, place.ravel(), (dx * mask[:, :, None]).reshape(-1, DIM))
+            _, dk = summed(place.ravel(), (dx * mask[:, :, None]).reshape(-1, DIM))
             known = common[rows[kinds]]
             for name, at, grad in (("word", rows[kinds][known], dk[known]), ("gram", own, np.repeat(dk / np.maximum(count, 1)[:, None], count, axis=0))):
-                k, where = np.unique(at, return_inverse=True)
-                total = np.zeros((len(k), DIM), np.float32)
-                np.add.at(total, where, grad)
+                k, total = summed(at, grad)
                 squares[name][k] += total * total
                 net.p[name][k] -= RATE * total / np.sqrt(squares[name][k])
             for name, grad in g.items():
@@ -267,10 +262,18 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Network:
                 net.p[name] -= RATE * grad / np.sqrt(squares[name])
     top = np.full(len(texts), -np.inf)
     np.maximum.at(top, owner, _window_logits(net, numbers, owner, start, rows, grams, begins))
-    net.scale = _platt(top, toxic)
+    net.scale = _platt(top, toxic, np.ones(len(toxic)) if weight is None else weight)
     return net
 
 
+def summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of ``rows`` by their place, places ascending."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+    return at[first], np.add.reduceat(rows[order], first, axis=0) if len(at) else rows
+
+
 def _batch(numbers: list[np.ndarray], owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids, mask = np.zeros((WIDTH, len(owner)), np.int64), np.zeros((WIDTH, len(owner)), bool)
     for j, (i, s) in enumerate(zip(owner, start)):
@@ -289,44 +292,60 @@ def _window_logits(net: Network, numbers, owner, start, rows, grams, begins) ->
     return out
 
 
-def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _platt(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic curve, by Newton steps with a little shrinkage."""
     a, b = 1.0, 0.0
+    w = w * (len(w) / w.sum())
     for _ in range(50):
         p = _sigmoid(a * x + b)
-        v = np.maximum(p * (1 - p), 1e-6)
-        ga, gb = ((p - y) * x).sum() + 1e-2 * (a - 1), (p - y).sum()
+        v = w * np.maximum(p * (1 - p), 1e-6)
+        ga, gb = (w * (p - y) * x).sum() + 1e-2 * (a - 1), (w * (p - y)).sum()
         haa, hab, hbb = (v * x * x).sum() + 1e-2, (v * x).sum(), v.sum() + 1e-6
         det = haa * hbb - hab * hab + 1e-12
         a, b = a - np.clip((hbb * ga - hab * gb) / det, -1, 1), b - np.clip((haa * gb - hab * ga) / det, -3, 3)
     return float(max(a, 0.05)), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Network:
-    """Train on at most SAMPLE texts of each class among the labelled rows that are not held out."""
-    small_batches(docs.sparkSession)
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, toxic, text, weight``: at most SAMPLE rows of each class, one for each id, in a fixed pseudo-random order of ids; ``weight`` is how many labelled rows of its class each stands for.
+
+    Labels of one id that contradict each other teach nothing. Rows with the same id and other texts count as their least text. Ids that
+    are held out, and texts of more than SAMPLE_CHARS, are left out before the rows are picked.
+    """
     own = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("toxic"))
-    own = stash(own.where(crc_bucket(F.col("l_id"), MODULUS) != HELD_OUT))
-    picked = None
+    own = own.where(crc_bucket(F.col("l_id"), MODULUS) != HELD_OUT).groupBy("l_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most and toxic in (0, 1)")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = text.where(F.length("text") <= SAMPLE_CHARS)
+    known = stash(own.join(whole.select(F.col("doc_id").alias("l_id")), "l_id", "left_semi").select("l_id", "toxic"))
+    total = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    parts = []
     for kind in (0, 1):
-        part = own.where(F.col("toxic") == kind).orderBy(F.xxhash64("l_id"), "l_id").limit(SAMPLE)
-        picked = part if picked is None else picked.unionByName(part)
-    picked = stash(picked.dropDuplicates(["l_id"]))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # the sample's size is bounded, so it may go to every task
-    rows = text.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(picked), text.doc_id == picked.l_id).select("doc_id", "toxic", "text").collect()
-    for x in (own, picked):
-        drop_stash(x)
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return train([(r.text or "").encode() for r in rows], np.array([r.toxic for r in rows], np.int64))
+        part = known.where(F.col("toxic") == kind).orderBy(F.xxhash64("l_id"), "l_id").limit(SAMPLE)
+        parts.append(part.withColumn("weight", F.lit(max(1.0, total.get(kind, 0) / SAMPLE))))
+    picked = parts[0].unionByName(parts[1])
+    # at most two samples of ids, which may go to every task
+    rows = whole.join(F.broadcast(picked), whole.doc_id == picked.l_id).groupBy("doc_id", "toxic", "weight").agg(F.min("text").alias("text"))
+    rows = stash(rows)
+    drop_stash(known)
+    return rows
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Network:
+    """Train on the texts of ``training_rows``."""
+    small_batches(docs.sparkSession)
+    held = training_rows(docs, labels)
+    rows = sorted(held.collect())
+    drop_stash(held)
+    return train([r.text.encode() for r in rows], np.array([r.toxic for r in rows], np.int64), np.array([r.weight for r in rows]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every whole text.
 
     ``docs`` needs ``doc_id`` and ``text``, ``labels`` ``doc_id`` and ``toxic``; other columns are ignored. Rows whose
-    crc32(id as text) mod 5 is 0 teach nothing. Null and empty texts have one window without words. With labels of
-    one class only, or none, the untrained network scores. Null ids are scored, never learned from.
+    crc32(id as text) mod 5 is 0 teach nothing. Null and empty texts have one window without words. A text of any length is scored by all
+    its windows. With labels of one class only, or none, the untrained network scores. Null ids are scored, never learned from. Repeated
+    rows get equal scores, one row each; an empty table gives an empty table.
     """
     net = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
@@ -340,7 +359,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is below the threshold. Each text is scored where it lies."""
+    """The rows of ``docs``, with all their columns, whose score is below the threshold. Each text is scored where it lies.
+
+    Nulls, empty and very long texts, repeated rows and empty tables are scored as ``toxicity_scores`` says; kept rows are unchanged.
+    """
     net = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -272,14 +272,65 @@ def test_isotonic():
 
 
 def test_toxicity(spark):
-    docs, labels = tables(spark)
-    out = toxicity.toxicity_scores(docs, labels)
-    assert held_out_accuracy(out, labels, "toxic", (5, 0)) >= 0.85  # 51 toxic examples in all
+    docs, labels = tables(spark, "sf0.1")
+    out = toxicity.toxicity_scores(docs, labels).cache()
+    rows = out.join(labels, "doc_id").where("held_out").collect()
+    toxic, clean = ([r.predicted for r in rows if r.toxic == k] for k in (1, 0))
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows) and len(toxic) > 50
+    assert np.mean(toxic) >= 0.85 and np.mean(clean) <= 0.03  # a constant fails one of the two
     assert out.where("score < 0 or score > 1 or score is null").count() == 0
+    out.unpersist()
     assert toxicity.toxicity_scores(cases.frame(spark), cases.labels(spark)).count() == len(cases.rows())
     assert toxicity.toxicity_scores(cases.empty(spark), labels).count() == 0
-    kept = toxicity.drop_toxic(cases.frame(spark), cases.labels(spark, 12))
-    assert kept.columns == cases.frame(spark).columns
+    for kept in (toxicity.drop_toxic(cases.frame(spark), cases.labels(spark, 12)), toxicity.drop_toxic(cases.empty(spark), cases.labels(spark, 12))):
+        assert kept.columns == cases.frame(spark).columns
+    scores = Counter((r.doc_id, r.predicted) for r in toxicity.toxicity_scores(cases.frame(spark), cases.labels(spark, 12)).collect())
+    assert Counter(r.doc_id for r in toxicity.drop_toxic(cases.frame(spark), cases.labels(spark, 12)).collect()) == Counter({k: n for (k, p), n in scores.items() if not p})
+
+
+def test_training_rows_filter_before_they_are_picked(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 5)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 10)
+    docs = spark.createDataFrame([(i, "long text " * (i % 2) + "x") for i in range(100)] * 3 + [(2, "a"), (None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i > 50)) for i in range(100)] + [(4, 1), (None, 1)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels).collect()
+    assert Counter(r.toxic for r in rows) == {0: 5, 1: 5} and len({r.doc_id for r in rows}) == 10
+    assert all(r.doc_id % 2 == 0 and r.doc_id != 4 and zlib.crc32(str(r.doc_id).encode()) % 5 for r in rows)
+    assert {round(r.weight * 5) for r in rows if r.toxic} == {sum(1 for i in range(52, 100, 2) if zlib.crc32(str(i).encode()) % 5)}
+
+
+def brute_score(net, text):
+    """The network word by word, in plain loops."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    vocabulary = toxicity.Vocabulary()
+    numbers = vocabulary.numbers(text)
+    if len(vocabulary.number):
+        rows, grams, begins = vocabulary.inputs()
+        vectors = [net.p["word"][rows[i]] + (net.p["gram"][grams[begins[i] : begins[i + 1]]].mean(0) if begins[i + 1] > begins[i] else 0) for i in range(len(rows))]
+    best = -np.inf
+    for s in toxicity.windows_of(len(numbers)):
+        states = {}
+        for d in "fb":
+            h, held = np.zeros(toxicity.HIDDEN), []
+            own = [vectors[n] for n in numbers[s : s + toxicity.WIDTH]]
+            for x in own if d == "f" else own[::-1]:
+                z, r, new = np.split(x @ net.p["w" + d] + net.p["c" + d], 3)
+                uz, ur, un = np.split(h @ net.p["u" + d], 3)
+                z, r = sig(z + uz), sig(r + ur)
+                h = z * h + (1 - z) * np.tanh(new + r * un)
+                held.append(h)
+            states[d] = held if d == "f" else held[::-1]
+        both = [np.concatenate(x) for x in zip(states["f"], states["b"])]
+        weight = np.exp([x @ net.p["a"] for x in both])
+        pooled = sum(w * x for w, x in zip(weight / weight.sum(), both)) if both else np.zeros(2 * toxicity.HIDDEN)
+        best = max(best, pooled @ net.p["out"] + net.p["bias"][0])
+    return sig(net.scale[0] * best + net.scale[1])
+
+
+def test_scores_are_the_plain_network():
+    docs = [(t or "").encode() for _, t, *_ in cases.sample()[:60]] + [b"", b"one", b"w " * 200]
+    net = toxicity.train(docs, np.arange(len(docs)) % 2)
+    assert net.score(docs) == pytest.approx([brute_score(net, t) for t in docs], abs=1e-3)
 
 
 def test_gradients_match_differences():
