@@ -5,6 +5,8 @@ Both window counts have a closed form, so a document is cut by one ``sequence``;
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,21 +28,40 @@ def lines_as_pages(docs: DataFrame, id_column: str, text_column: str) -> DataFra
 def char_chunks(pages: DataFrame, size: int = 1200, overlap: int = 200) -> DataFrame:
     """``doc_id, chunk_index, page_start, page_end, content`` of ``pages(doc_id, page_no, content)``.
 
-    Blank windows take no index. A page's text owns the line feed after it.
+    Blank windows take no index. A page's text owns the line feed after it. Time grows with a document's length: its text is cut
+    once into pieces that windows are made of, and every page says for how many windows it holds the first or the last character, which by
+    arithmetic gives the pages of all windows without a lookup.
     """
+    step = max(1, size - overlap)
+    piece = math.gcd(step, size)
     content = F.coalesce("content", F.lit(""))
     before = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    laid = pages.select("doc_id", "page_no", content.alias("content"), F.coalesce(F.sum(F.length(content) + 1).over(before), F.lit(0)).alias("at"))
+    laid = pages.select("doc_id", "page_no", content.alias("content"), F.coalesce(F.sum(F.length(content) + 1).over(before), F.lit(0)).cast("long").alias("at"))
     docs = laid.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "content", "at"))).alias("p"))
-    docs = docs.select("doc_id", F.transform("p", lambda x: F.struct(x["page_no"].alias("page_no"), x["at"].alias("at"))).alias("marks"), F.array_join(F.transform("p", lambda x: x["content"]), "\n").alias("full"))
-    page_at = lambda pos: F.coalesce(F.try_element_at(F.filter("marks", lambda m: m["at"] <= pos), F.lit(-1))["page_no"], F.lit(1))
-    length = F.length("full")
-
-    # the generator stands between the joined text and its cuts, so that the text is put together once
-    at = F.col("at")
-    cuts = docs.select("doc_id", "marks", "full", length.alias("n"), F.explode(starts(length, size, overlap)).alias("at"))
-    last = F.greatest(at, F.least(at + size, F.col("n")) - 1)
-    cuts = cuts.select("doc_id", "at", strip(F.substring("full", at + 1, F.lit(size))).alias("content"), page_at(at).cast("int").alias("page_start"), page_at(last).cast("int").alias("page_end")).where("content <> ''")
+    docs = docs.select("doc_id", F.transform("p", lambda x: F.struct(x["page_no"].alias("page_no"), x["at"].alias("at"), F.length(x["content"]).alias("n"))).alias("marks"), F.array_join(F.transform("p", lambda x: x["content"]), "\n").alias("full"))
+
+    def holders(offset: int) -> Column:
+        """For k = 0, 1, ... the page that holds the character ``k * step + offset``."""
+
+        def times(m: Column) -> Column:
+            low, high = F.greatest(m["at"] - offset, F.lit(0)), m["at"] + m["n"] - offset
+            return F.when(high >= 0, F.greatest(F.lit(0), F.floor(high / step) - F.ceil(low / step) + 1)).otherwise(0).cast("int")
+
+        return F.flatten(F.transform("marks", lambda m: F.array_repeat(m["page_no"], times(m))))
+
+    n = F.length("full")
+    end = F.element_at(F.filter("marks", lambda m: m["at"] < n), -1)["page_no"]
+    pieces = F.regexp_extract_all("full", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
+    # one column for all that the windows read, so that it is made once for each document
+    made = docs.where("full <> ''").select("doc_id", F.struct(n.alias("n"), pieces.alias("pieces"), holders(0).alias("first"), holders(size - 1).alias("last"), end.alias("end"), starts(n, size, overlap).alias("starts")).alias("d"))
+    d = F.col("d")
+
+    def window(at: Column, k: Column) -> Column:
+        whole = at + size <= d["n"]
+        text = F.array_join(F.slice(d["pieces"], F.floor(at / piece).cast("int") + 1, F.lit(size // piece)), "")
+        return F.struct(at.alias("at"), strip(text).alias("content"), F.get(d["first"], k).cast("int").alias("page_start"), F.when(whole, F.get(d["last"], k)).otherwise(d["end"]).cast("int").alias("page_end"))
+
+    cuts = made.select("doc_id", F.explode(F.transform(d["starts"], window)).alias("w")).select("doc_id", "w.*").where("content <> ''")
     index = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
     return cuts.select("doc_id", index.alias("chunk_index"), "page_start", "page_end", "content")
 
