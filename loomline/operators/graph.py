@@ -32,20 +32,34 @@ def chain(events: DataFrame) -> DataFrame:
 def causal(events: DataFrame, shared: float = SHARED) -> DataFrame:
     """Edges from an event whose effect shares enough tokens with another event's cause, through an inverted index instead of all pairs.
 
-    ``events`` needs ``doc_id, id, consequent_effect, antecedent_cause``; where it has ``rank``, the edges have the ranks of their ends. The join key is (document, token), so no token is
-    hotter than it is in one document.
+    ``events`` needs ``doc_id, id, consequent_effect, antecedent_cause``; where it has ``rank``, the edges have the ranks of their ends.
+
+    The index is cut by a prefix filter. An edge needs t = ceil(shared * the smaller number of tokens) tokens in common. With both token sets in one order,
+    the rarest of the document first, the first common token stands early enough that t - 1 more follow it on either side; only such
+    meetings make a candidate, so frequent tokens, which stand last, seldom do. Candidates are then compared by their whole sets.
     """
     ranked = "rank" in events.columns
+    ranks = ["src_rank", "dst_rank"] if ranked else []
 
-    def side(column: str, name: str) -> DataFrame:
-        rank = [F.col("rank").alias(f"{name}_rank")] if ranked else []
-        x = events.select("doc_id", F.col("id").alias(name), *rank, tokens(F.coalesce(column, F.lit("")), MIN_TOKEN).alias("t"))
-        return x.select("doc_id", name, *([f"{name}_rank"] if ranked else []), F.size("t").alias(f"{name}_size"), F.explode("t").alias("token"))
+    def sets(column: str) -> DataFrame:
+        return events.select("doc_id", "id", *(["rank"] if ranked else []), tokens(F.coalesce(column, F.lit("")), MIN_TOKEN).alias("t")).where(F.size("t") > 0)
 
-    ranks = ["src_rank", "dst_rank"] if ranked else []
-    met = side("consequent_effect", "src").join(side("antecedent_cause", "dst"), ["doc_id", "token"]).where("src <> dst")
-    both = met.groupBy("doc_id", "src", "dst").agg(F.count("*").alias("n"), F.min(F.least("src_size", "dst_size")).alias("size"), *(F.min(r).alias(r) for r in ranks))
-    return both.where(F.col("n") / F.col("size") >= shared).select("doc_id", "src", "dst", F.lit(CAUSAL).alias("confidence"), F.lit("causal").alias("kind"), *ranks)
+    effect, cause = sets("consequent_effect"), sets("antecedent_cause")
+    spread = lambda x, side: x.select("doc_id", "id", F.lit(side).alias("side"), F.explode("t").alias("token"))
+    counted = spread(effect, 0).unionByName(spread(cause, 1)).withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "token")))
+    ordered = counted.groupBy("doc_id", "id", "side").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("t"))
+    places = ordered.select("doc_id", "id", "side", F.size("t").alias("size"), F.posexplode("t").alias("at", "token"))
+
+    def side(k: int, name: str) -> DataFrame:
+        return places.where(F.col("side") == k).select("doc_id", "token", F.col("id").alias(name), F.col("size").alias(f"{name}_size"), (F.col("size") - F.col("at")).alias(f"{name}_left"))
+
+    need = F.ceil(F.least("src_size", "dst_size") * shared)
+    met = side(0, "src").join(side(1, "dst"), ["doc_id", "token"]).where((F.col("src") != F.col("dst")) & (F.col("src_left") >= need) & (F.col("dst_left") >= need))
+    near = met.select("doc_id", "src", "dst").distinct()
+    whole = lambda x, name: x.select("doc_id", F.col("id").alias(name), F.col("t").alias(f"{name}_t"), *([F.col("rank").alias(f"{name}_rank")] if ranked else []))
+    both = near.join(whole(effect, "src"), ["doc_id", "src"]).join(whole(cause, "dst"), ["doc_id", "dst"])
+    common, least = F.size(F.array_intersect("src_t", "dst_t")), F.least(F.size("src_t"), F.size("dst_t"))
+    return both.where(common / least >= shared).select("doc_id", "src", "dst", F.lit(CAUSAL).alias("confidence"), F.lit("causal").alias("kind"), *ranks)
 
 
 def combine(edges: DataFrame) -> DataFrame:
@@ -75,10 +89,15 @@ def build(events: DataFrame) -> DataFrame:
 def repair_stats(candidates: DataFrame, combined: DataFrame, events: DataFrame) -> DataFrame:
     """``doc_id, candidate_edges, final_edges, dropped_edges, cycle_rate, is_dag``; candidates count before edges of one pair are combined."""
     n = candidates.groupBy("doc_id").agg(F.count("*").alias("candidate_edges"))
-    forward = F.col("src_rank") < F.col("dst_rank")
-    kept = _with_ranks(combined, events).groupBy("doc_id").agg(F.count_if(forward).alias("final_edges"), F.count_if(~forward).alias("dropped_edges"))
-    x = n.join(kept, "doc_id", "left").na.fill(0)
-    return x.select("*", F.round(F.col("dropped_edges") / F.greatest(F.lit(1), "candidate_edges"), 4).alias("cycle_rate"), F.lit(True).alias("is_dag"))
+    all_ = _with_ranks(combined, events)
+    kept = repair(all_, events)
+    # edges that all lead from a lower to a higher rank, where no two events share a rank, make no cycle
+    strict = events.groupBy("doc_id").agg((F.count_distinct("rank") == F.count("*")).alias("strict"))
+    forward = kept.groupBy("doc_id").agg(F.count("*").alias("final_edges"), F.bool_and(F.col("src_rank") < F.col("dst_rank")).alias("forward"))
+    sums = all_.groupBy("doc_id").agg(F.count("*").alias("combined_edges"))
+    x = n.join(sums, "doc_id", "left").join(forward, "doc_id", "left").join(strict, "doc_id", "left").na.fill(0)
+    dropped = F.col("combined_edges") - F.col("final_edges")
+    return x.select("doc_id", "candidate_edges", "final_edges", dropped.alias("dropped_edges"), F.round(dropped / F.greatest(F.lit(1), "candidate_edges"), 4).alias("cycle_rate"), (F.coalesce("forward", F.lit(True)) & F.coalesce("strict", F.lit(True))).alias("is_dag"))
 
 
 def reachable(edges: DataFrame, pairs: DataFrame, max_hops: int = 80) -> DataFrame:
