@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import json
 from collections.abc import Callable
 
@@ -36,24 +35,11 @@ def joined(values: Column, separator: str = ",") -> Column:
 BOOK_STAGES = ("en", "fr", "de", "es")
 
 
-def story_query(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Registers the query over the story's fixture of short texts, and over whole texts under its name and ``_whole``."""
-
-    @functools.wraps(f)
-    def over_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(spark, sf_dir, whole=True)
-
-    QUERIES[f"{f.__name__}_whole"] = over_whole
-    return query(f)
-
-
-def story_events(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Documents as events. With ``whole``, the text is the event, its first half of words the cause and the rest the effect; else prefixes of the text."""
+def story_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as events: the whole text is the event, its first half of words the cause and the rest the effect."""
     words, low = F.split("text", r"\s+"), F.split(F.lower("text"), r"\s+")
-    core, cause, effect = F.substring("text", 1, 300), F.slice(low, 1, 40), F.slice(words, 1, 20)
-    if whole:
-        half = F.ceil(F.size(words) / 2).cast("int")
-        core, cause, effect = F.col("text"), F.slice(low, F.lit(1), half), F.slice(words, half + 1, F.size(words) - half)
+    half = F.ceil(F.size(words) / 2).cast("int")
+    core, cause, effect = F.col("text"), F.slice(low, F.lit(1), half), F.slice(words, half + 1, F.size(words) - half)
     return table(spark, sf_dir, "documents").select(
         F.col("source").alias("doc_id"), F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("int").alias("seq"), F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 50 == 0, " Epilogue").otherwise("")).alias("event_name"),
         F.when(F.col("n_chars") % 2 == 0, "major").otherwise("minor").alias("category"), F.col("lang").alias("timeline_anchor"), F.lit("").alias("location"), F.array("lang").alias("characters"), core.alias("core_event"),
@@ -62,14 +48,14 @@ def story_events(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataF
     )
 
 
-def story(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    events = story_events(spark, sf_dir, whole)
+def story(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = story_events(spark, sf_dir)
     tax = F.array(*(stages.stage(F.lit(n), F.lit(""), F.lit(False)) for n in BOOK_STAGES))
     return chronology.chronology(events, events.select("doc_id").distinct().withColumn("taxonomy", tax))
 
 
-def story_graph(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    events = story(spark, sf_dir, whole)
+def story_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    events = story(spark, sf_dir)
     candidates = graph.chain(events).unionByName(graph.causal(events))
     return events, candidates, graph.combine(candidates)
 
@@ -97,7 +83,7 @@ def t4_bullet_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def t5_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.sanitize(F.col("html"), 3000)).alias("clean_md5"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.sanitize(F.col("html"))).alias("clean_md5"))
 
 
 @query
@@ -118,7 +104,7 @@ def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def t7_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.digest(talk(spark, sf_dir), 1500).select("doc_id", F.md5("digest").alias("digest_md5"))
+    return windows.digest(talk(spark, sf_dir)).select("doc_id", F.md5("digest").alias("digest_md5"))
 
 
 @query
@@ -131,10 +117,10 @@ def t8_t9_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.batches(talk(spark, sf_dir), 2, 2).select("doc_id", "batch", "round", F.md5("text").alias("text_md5"))
 
 
-@story_query
-def t10_event_text(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@query
+def t10_event_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = text.event_text(F.col("event_name"), F.col("core_event"), F.col("characters"), F.col("location"))
-    return story_events(spark, sf_dir, whole).select("id", F.md5(made).alias("text_md5"))
+    return story_events(spark, sf_dir).select("id", F.md5(made).alias("text_md5"))
 
 
 @query
@@ -144,9 +130,9 @@ def t11_page_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", text.page_label(held).alias("label"))
 
 
-@story_query
-def t12_event_blocks(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    pool = story(spark, sf_dir, whole).withColumn("place", F.col("rank"))
+@query
+def t12_event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = story(spark, sf_dir).withColumn("place", F.col("rank"))
     full = retrieval.event_context(pool).withColumnRenamed("context", "full")
     return full.join(retrieval.event_context(pool, slim=True), "doc_id").select("doc_id", F.md5("full").alias("full_md5"), F.md5("context").alias("slim_md5"))
 
@@ -160,9 +146,9 @@ def t13_t15_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.join(one, "doc_id").select("doc_id", F.md5("full").alias("full_md5"), F.md5("context").alias("short_md5"), "n_pages", "preview_md5")
 
 
-@story_query
-def t16_light_index(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    index = merge.light_index(story_events(spark, sf_dir, whole).drop("seq"))
+@query
+def t16_light_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = merge.light_index(story_events(spark, sf_dir).drop("seq"))
     back = F.from_json("known", "array<struct<event_name:string,category:string,timeline_anchor:string,core_event:string>>")
     return index.select("doc_id", F.size(back).cast("long").alias("n"), F.md5(F.array_join(F.transform(back, lambda x: F.concat_ws("|", x["event_name"], x["category"], x["timeline_anchor"], x["core_event"])), ";")).alias("index_md5"))
 
@@ -255,15 +241,15 @@ def e4_merge_fold_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def e5_merge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     instructions = event_instructions(spark, sf_dir)
-    return merge.stats(instructions, merge.fold(instructions))
+    return merge.stats(instructions, merge.fold_arrow(instructions))
 
 
 # chronology and graph
 
 
-@story_query
-def e6_e10_story_order(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return story(spark, sf_dir, whole).select("doc_id", "id", "timeline_anchor", "stage_order", "stage_name", "first_page", joined(F.col("source_pages")).alias("source_pages"), "rank")
+@query
+def e6_e10_story_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return story(spark, sf_dir).select("doc_id", "id", "timeline_anchor", "stage_order", "stage_name", "first_page", joined(F.col("source_pages")).alias("source_pages"), "rank")
 
 
 @query
@@ -271,40 +257,40 @@ def e10_event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chronology.with_ids(story_events(spark, sf_dir)).select("doc_id", "seq", "id")
 
 
-@story_query
-def g1_chain_edges(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return graph.chain(story(spark, sf_dir, whole)).drop("src_rank", "dst_rank")
+@query
+def g1_chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.chain(story(spark, sf_dir)).drop("src_rank", "dst_rank")
 
 
-@story_query
-def g2_causal_pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return graph.causal(story_events(spark, sf_dir, whole))
+@query
+def g2_causal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.causal(story_events(spark, sf_dir))
 
 
-@story_query
-def g3_g6_dag_edges(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    events, _, combined = story_graph(spark, sf_dir, whole)
+@query
+def g3_g6_dag_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, _, combined = story_graph(spark, sf_dir)
     return graph.repair(combined, events).select("doc_id", "src", "dst", "confidence", "kind")
 
 
-@story_query
-def g7_repair_stats(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    events, candidates, combined = story_graph(spark, sf_dir, whole)
+@query
+def g7_repair_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, candidates, combined = story_graph(spark, sf_dir)
     return graph.repair_stats(candidates, combined, events)
 
 
-@story_query
-def g8_reachable(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    events, _, combined = story_graph(spark, sf_dir, whole)
+@query
+def g8_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, _, combined = story_graph(spark, sf_dir)
     ends = events.groupBy("doc_id").agg(F.min_by("id", "rank").alias("a"), F.max_by("id", "rank").alias("b"), F.max_by("id", F.when(F.col("rank") <= 4, F.col("rank"))).alias("c"))
     ask = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("c").alias("dst")), F.struct(F.col("a").alias("src"), F.lit("nobody").alias("dst"))))
     pairs = ends.select("doc_id", ask.alias("p")).select("doc_id", "p.src", "p.dst")
     return graph.reachable(graph.repair(combined, events), pairs).select("doc_id", "src", "dst", "relation", "hops")
 
 
-@story_query
-def g9_neighbours(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    events, _, combined = story_graph(spark, sf_dir, whole)
+@query
+def g9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, _, combined = story_graph(spark, sf_dir)
     seeds = events.where(F.col("id").cast("long") % 100 == 0).select("doc_id", "id")
     return graph.neighbours(graph.repair(combined, events), seeds, 2)
 
@@ -320,10 +306,10 @@ def g10_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.characters(graph.appears_in(story_events(spark, sf_dir)))
 
 
-@story_query
-def s18_graph_read(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@query
+def s18_graph_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each book's nodes among the major events, and its edges between them."""
-    events, _, combined = story_graph(spark, sf_dir, whole)
+    events, _, combined = story_graph(spark, sf_dir)
     known = events.where("category = 'major'")
     return evaluation.row_counts(known, nodes=graph.nodes(known), edges=graph.edges_between(graph.repair(combined, events), known))
 
@@ -414,7 +400,7 @@ def x2_kendall_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def x3_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"))
-    return evaluation.summary(docs, merge.fold(event_instructions(spark, sf_dir)))
+    return evaluation.summary(docs, merge.fold_arrow(event_instructions(spark, sf_dir)))
 
 
 @query
@@ -430,20 +416,20 @@ def x5_run_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.run_averages(runs)
 
 
-@story_query
-def x6_stage_distribution(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return evaluation.stage_distribution(story(spark, sf_dir, whole))
+@query
+def x6_stage_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.stage_distribution(story(spark, sf_dir))
 
 
-@story_query
-def x6_stage_map(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    m = evaluation.stage_map(story(spark, sf_dir, whole))
+@query
+def x6_stage_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = evaluation.stage_map(story(spark, sf_dir))
     return m.select("doc_id", F.size("stages").alias("n_stages"), F.col("stages")["en"].alias("n_en"))
 
 
-@story_query
-def x7_build_summary(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    events, candidates, combined = story_graph(spark, sf_dir, whole)
+@query
+def x7_build_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, candidates, combined = story_graph(spark, sf_dir)
     s = evaluation.summary(events, events).select("doc_id", "events_total", "events_major", "events_minor", "merges")
     return s.join(graph.repair_stats(candidates, combined, events).select("doc_id", "final_edges", "dropped_edges"), "doc_id")
 

@@ -138,7 +138,7 @@ class Engine:
         return rows.select("doc_id", "batch", "pos", "i.*")
 
     def _known(self, path: str) -> DataFrame:
-        return merge.fold(self._instructions(path))
+        return merge.fold_arrow(self._instructions(path))
 
     def stage_lines(self, doc_id: str) -> DataFrame:
         """``doc_id, lines``: the document's stages as numbered prompt lines."""
@@ -154,7 +154,7 @@ class Engine:
         self.store.replace("instructions", instructions)
         instructions = self.store.read("instructions").where(F.col("doc_id") == doc_id)
         progress(0.80, "observations merged")
-        events = chronology.with_ids(chronology.chronology(merge.fold(instructions), self.store.taxonomy(doc_id)))
+        events = chronology.with_ids(chronology.chronology(merge.fold_arrow(instructions), self.store.taxonomy(doc_id)))
         described = events.withColumn("_text", text.event_text(F.col("event_name"), F.col("core_event"), F.col("characters"), F.col("location")))
         self.store.replace("events", models.embed(described, self.make_client, "_text", batch=self.conf.embed_batch))
         progress(0.93, "events stored")

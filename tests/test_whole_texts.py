@@ -41,15 +41,15 @@ def test_causal_pairs_of_whole_texts(spark, folder):
                 effect, cause = halves(a)[1], halves(b)[0]
                 if i != j and effect and cause and len(effect & cause) / min(len(effect), len(cause)) >= 0.5:
                     want.add((f"s{s // 6}", str(s + i + 1), str(s + j + 1)))
-    got = {(r.doc_id, r.src, r.dst) for r in QUERIES["g2_causal_pairs_whole"](spark, folder).collect()}
+    got = {(r.doc_id, r.src, r.dst) for r in QUERIES["g2_causal_pairs"](spark, folder).collect()}
     assert ("s0", "1", "2") in want and got == want
-    rank = {(r.doc_id, r.id): r.rank for r in QUERIES["e6_e10_story_order_whole"](spark, folder).collect()}
-    edges = {(r.doc_id, r.src, r.dst) for r in QUERIES["g3_g6_dag_edges_whole"](spark, folder).collect()}
+    rank = {(r.doc_id, r.id): r.rank for r in QUERIES["e6_e10_story_order"](spark, folder).collect()}
+    edges = {(r.doc_id, r.src, r.dst) for r in QUERIES["g3_g6_dag_edges"](spark, folder).collect()}
     assert {(d, a, b) for d, a, b in want if rank[d, a] < rank[d, b]} <= edges
 
 
 def test_hints_of_whole_texts(spark, folder):
-    order = {r.id: r.timeline_anchor for r in QUERIES["e6_e10_story_order_whole"](spark, folder).collect()}
+    order = {r.id: r.timeline_anchor for r in QUERIES["e6_e10_story_order"](spark, folder).collect()}
     assert {k for k, v in order.items() if v != "en"} == {"3", "9"}
 
 
