@@ -24,6 +24,10 @@ class EngineConf:
     prompt_chars: tuple[int, ...] = (14000, 4500, 2000)
     max_hops: int = 80
     model_partitions: int = 5
+    #: Folders that the rows of a document's tables are spread over.
+    buckets: int = 64
+    #: Updates of jobs after which their log is compacted.
+    job_updates: int = 200
 
     def table(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"

@@ -121,11 +121,12 @@ def light_index(events: DataFrame) -> DataFrame:
     return events.groupBy("doc_id").agg(F.to_json(F.transform(rows, lambda r: F.struct(*(r[c].alias(c) for c in ("event_name", "category", "timeline_anchor", "core_event"))))).alias("known"))
 
 
-def merge_prompt(batches: DataFrame, index: DataFrame, lines: DataFrame, pages: int) -> DataFrame:
-    """``doc_id, batch, user``: each batch with the stages and the events known before it."""
+def merge_prompt(batches: DataFrame, index: DataFrame, lines: DataFrame, pages: int | DataFrame) -> DataFrame:
+    """``doc_id, batch, user``: each batch with the stages and the events known before it. ``pages`` is the number of pages, or a table ``doc_id, pages`` of it."""
     x = batches.join(index, "doc_id", "left").join(lines, "doc_id", "left")
+    x = x.withColumn("pages", F.lit(pages)) if isinstance(pages, int) else x.join(pages, "doc_id", "left")
     known, stages = F.coalesce("known", F.lit("[]")), F.coalesce("lines", F.lit(""))
-    return x.select("doc_id", "batch", F.concat(F.lit(f"PAGES {pages}\n"), stages, F.lit("\nKNOWN EVENTS: "), known, F.lit("\nOBSERVATIONS:\n"), "text").alias("user"))
+    return x.select("doc_id", "batch", F.concat(F.lit("PAGES "), F.coalesce("pages", F.lit(1)).cast("string"), F.lit("\n"), stages, F.lit("\nKNOWN EVENTS: "), known, F.lit("\nOBSERVATIONS:\n"), "text").alias("user"))
 
 
 def stats(instructions: DataFrame, events: DataFrame, failed: DataFrame | None = None) -> DataFrame:

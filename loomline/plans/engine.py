@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +44,7 @@ class Engine:
 
     def add(self, docs: DataFrame, pages: DataFrame) -> DataFrame:
         ids = docs.select(F.col("id").alias("doc_id"))
-        self.store.replace("pages", pages.join(ids, "doc_id", "left_semi"))
+        self.store.replace("pages", pages.join(ids, "doc_id", "left_semi"), ids)
         self.store.put_documents(docs)
         return self.store.read("documents").join(docs.select("id"), "id", "left_semi")
 
@@ -56,11 +56,14 @@ class Engine:
 
     def pages(self, doc_id: str) -> DataFrame:
         """A document's pages in order; an unknown document is an error."""
-        out = pages_of(self.store.read("pages"), doc_id)
+        out = pages_of(self.store.read("pages", doc_id), doc_id)
         if out.isEmpty():
             raise LookupError(f"no pages of {doc_id}")
         return out
 
+    def ids(self, *doc_ids: str) -> DataFrame:
+        return self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id string")
+
     # builds
 
     def build(self, doc_id: str, kind: str) -> str:
@@ -69,134 +72,158 @@ class Engine:
             raise ValueError(f"kind must be one of {KINDS}")
         self.pages(doc_id)
         job = self.jobs.create(doc_id, kind)
-        run = self.build_naive if kind == "naive" else self.build_timeline
-        self.jobs.run(job, lambda progress: json.dumps(run(doc_id, progress)))
+        self.jobs.run(job, self.work(doc_id, kind))
         return job
 
-    def build_naive(self, doc_id: str, progress: Callable = lambda p, s: None) -> dict:
-        pages = self.store.read("pages").where(F.col("doc_id") == doc_id)
-        chunks = windows.char_chunks(pages, self.conf.chunk_chars, self.conf.chunk_overlap)
-        self.store.replace("chunks", models.embed(chunks, self.make_client, "content", batch=self.conf.embed_batch))
+    def work(self, doc_id: str, kind: str) -> Callable[[Callable], str]:
+        """What a job for one document does; it fails if the document's build does."""
+
+        def run(progress: Callable) -> str:
+            found = self._build(self.ids(doc_id), kind, progress).first()
+            if found is None:
+                raise RuntimeError("windows have no observation; the finished ones are kept")
+            return found.detail
+
+        return run
+
+    def build_all(self, doc_ids: DataFrame, kind: str) -> DataFrame:
+        """Build all documents of ``doc_ids(doc_id)`` at once and return their jobs ``job_id, doc_id``: every step is one plan over all of them."""
+        if kind not in KINDS:
+            raise ValueError(f"kind must be one of {KINDS}")
+        known = self._kept("build-ids", self.store.read("pages", doc_ids).select("doc_id").distinct())
+        jobs = self._kept("build-jobs", self.jobs.create_all(known, kind))
+        self.jobs.finish_all(jobs, self._build(known, kind))
+        return jobs
+
+    def _build(self, ids: DataFrame, kind: str, progress: Callable = lambda p, s: None) -> DataFrame:
+        return (self.build_naive if kind == "naive" else self.build_timeline)(ids, progress)
+
+    def _kept(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows written under the engine's work folder, so that nothing that made them runs again."""
+        path = f"{self.conf.table('work')}/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def build_naive(self, ids: DataFrame, progress: Callable = lambda p, s: None) -> DataFrame:
+        """Chunks and vectors of documents; returns ``doc_id, detail``."""
+        chunks = windows.char_chunks(self.store.read("pages", ids), self.conf.chunk_chars, self.conf.chunk_overlap)
+        self.store.replace("chunks", models.embed(chunks, self.make_client, "content", batch=self.conf.embed_batch), ids)
         progress(0.9, "chunks stored")
-        return {"chunks": self.store.read("chunks").where(F.col("doc_id") == doc_id).count()}
+        counts = evaluation.row_counts(ids, chunks=self.store.read("chunks", ids))
+        return counts.select("doc_id", F.to_json(F.struct("chunks")).alias("detail"))
+
+    SKIMMED = "doc_id string, window_id string, page_start int, page_end int, raw_text string, key string"
 
-    def observe(self, doc_id: str) -> DataFrame:
-        """Skim the windows whose text was not skimmed before, and return all observations of the current pages."""
-        pages = self.store.read("pages").where(F.col("doc_id") == doc_id)
-        work = windows.page_windows(pages, self.conf.window_pages, self.conf.window_overlap)
+    def observe(self, ids: DataFrame) -> DataFrame:
+        """Skim the windows whose text was not skimmed before, store the observations of documents that have all of theirs, and return these documents' ids."""
+        work = windows.page_windows(self.store.read("pages", ids), self.conf.window_pages, self.conf.window_overlap)
         head = F.format_string("[Text Window: Pages %d to %d]\n\n", "page_start", "page_end")
         work = work.withColumns({"user": F.concat(head, "text"), "system": F.lit(SKIM)}).withColumn("key", F.sha1(F.concat_ws("\x1f", "doc_id", "window_id", "text")))
-        done = self._table("skimmed", "doc_id string, window_id string, page_start int, page_end int, raw_text string, key string")
-        todo = stores.pending(work, done, ["key"])
+        todo = stores.pending(work, self._skimmed(), ["key"])
         new = models.chat(todo, self.make_client, "system", "user", max_tokens=1600, partitions=self.conf.model_partitions, ladder=self.conf.prompt_chars)
         new.where("reply is not null").select("doc_id", "window_id", "page_start", "page_end", F.col("reply").alias("raw_text"), "key").write.mode("append").parquet(self.conf.table("skimmed"))
-        done = self._table("skimmed", "doc_id string, window_id string, page_start int, page_end int, raw_text string, key string")
+        done = self._skimmed()
+        missing = work.join(done, "key", "left_anti").select("doc_id").distinct()
+        whole = self._kept("observed", ids.join(missing, "doc_id", "left_anti"))
         found = stores.latest(done.join(work.select("key"), "key", "left_semi"), ["key"], "raw_text").drop("key")
-        missing = work.join(done, "key", "left_anti").count()
-        if missing:
-            raise RuntimeError(f"{missing} windows have no observation; the finished ones are kept")
-        self.store.replace("observations", found)
-        return self.store.read("observations").where(F.col("doc_id") == doc_id)
-
-    def _table(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(self.conf.table(name)) if self.store.exists(name) else self.spark.createDataFrame([], schema)
-
-    def infer_stages(self, doc_id: str, observations: DataFrame) -> None:
-        """Ask for the document's stages and save them normalised; the default ones if the reply is of no use."""
-        asked = stores.titles(windows.digest(observations, self.conf.digest_chars), self.store.read("documents")).join(windows.digest(observations, self.conf.digest_chars), "doc_id")
+        self.store.replace("observations", found.join(whole, "doc_id", "left_semi"), whole)
+        return whole
+
+    def _skimmed(self) -> DataFrame:
+        path = self.conf.table("skimmed")
+        return self.spark.read.schema(self.SKIMMED).parquet(path) if self.store._exists(path) else self.spark.createDataFrame([], self.SKIMMED)
+
+    def infer_stages(self, observations: DataFrame) -> None:
+        """Ask for each document's stages and save them normalised; the default ones if the reply is of no use."""
+        digests = windows.digest(observations, self.conf.digest_chars)
+        asked = stores.titles(digests, self.store.read("documents")).join(digests, "doc_id")
         asked = asked.select("doc_id", F.lit(STAGES).alias("system"), F.concat(F.lit("TITLE: "), "title", F.lit("\n\n"), "digest").alias("user"))
         reply = models.chat(asked, self.make_client, "system", "user", max_tokens=2000, structured=True, ladder=self.conf.prompt_chars)
         found = F.from_json("reply", f"struct<stages:array<{STAGE}>>")["stages"]
-        one = reply.select(F.when(F.coalesce(F.size(found), F.lit(0)) > 0, stages.normalize(found)).otherwise(stages.default_stages()).alias("taxonomy"))
-        path = self.conf.table("stages-reply")
-        one.write.mode("overwrite").parquet(path)  # a model call must not run again when the plan does
-        self.store.save_taxonomy(doc_id, self.spark.read.parquet(path))
-
-    def merge_observations(self, doc_id: str, observations: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Instructions and failed batches, round by round: the batches of a round see the events of the rounds before."""
-        path = f"{self.conf.table('merge-replies')}/doc={doc_id}"
-        fs, at = self.store._fs(path)
-        fs.delete(at, True)
-        work = windows.batches(observations, self.conf.batch_windows, self.conf.concurrency)
-        total = self.store.read("pages").where(F.col("doc_id") == doc_id).agg(F.max("page_no")).first()[0] or 1
-        lines = self.stage_lines(doc_id)
+        each = reply.select("doc_id", F.when(F.coalesce(F.size(found), F.lit(0)) > 0, stages.normalize(found)).otherwise(stages.default_stages()).alias("taxonomy"))
+        self.store.save_taxonomies(self._kept("stages", each))
+
+    def merge_observations(self, observations: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Instructions and failed batches, round by round: the batches of a round see the events of their document's rounds before."""
+        path = f"{self.conf.table('work')}/merge-{uuid.uuid4().hex}"
+        work = self._kept("batches", windows.batches(observations, self.conf.batch_windows, self.conf.concurrency))
+        pages = self._kept("pages", self.store.read("pages", ids).groupBy("doc_id").agg(F.max("page_no").alias("pages")))
+        lines = self.stage_lines(ids)
         rounds = work.agg(F.max("round")).first()[0]
         for r in range(0 if rounds is None else rounds + 1):
-            prompts = merge.merge_prompt(work.where(F.col("round") == r), merge.light_index(self._known(path)), lines, total)
-            asked = prompts.select("doc_id", "batch", F.lit(MERGE).alias("system"), "user")
+            now = work.where(F.col("round") == r)
+            known = merge.fold_arrow(self._instructions(path).join(now.select("doc_id"), "doc_id", "left_semi"))
+            asked = merge.merge_prompt(now, merge.light_index(known), lines, pages).select("doc_id", "batch", F.lit(MERGE).alias("system"), "user")
             models.chat(asked, self.make_client, "system", "user", max_tokens=6000, structured=True, partitions=self.conf.concurrency, ladder=self.conf.prompt_chars).write.mode("append").parquet(path)
-        replies = self._replies(path)
-        return self._instructions(path), replies.where("reply is null").select("doc_id", "batch")
+        return self._instructions(path), self._replies(path).where("reply is null").select("doc_id", "batch")
 
     def _replies(self, path: str) -> DataFrame:
         schema = f"doc_id string, batch int, {models.REPLY}"
-        fs, at = self.store._fs(path)
-        return self.spark.read.schema(schema).parquet(path) if fs.exists(at) else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path) if self.store._exists(path) else self.spark.createDataFrame([], schema)
 
     def _instructions(self, path: str) -> DataFrame:
         rows = self._replies(path).where("reply is not null").select("doc_id", "batch", F.posexplode(F.from_json("reply", f"struct<instructions:array<{INSTRUCTION}>>")["instructions"]).alias("pos", "i"))
         return rows.select("doc_id", "batch", "pos", "i.*")
 
-    def _known(self, path: str) -> DataFrame:
-        return merge.fold_arrow(self._instructions(path))
-
-    def stage_lines(self, doc_id: str) -> DataFrame:
-        """``doc_id, lines``: the document's stages as numbered prompt lines."""
-        t = self.store.taxonomy(doc_id).select("doc_id", F.posexplode("taxonomy").alias("i", "s"))
+    def stage_lines(self, ids: DataFrame) -> DataFrame:
+        """``doc_id, lines``: the documents' stages as numbered prompt lines."""
+        t = self.store.taxonomies(ids).select("doc_id", F.posexplode("taxonomy").alias("i", "s"))
         return t.groupBy("doc_id").agg(text.ordered_text(["i"], stages.line(F.col("i"), F.col("s")), "\n").alias("lines"))
 
-    def build_timeline(self, doc_id: str, progress: Callable = lambda p, s: None) -> dict:
-        observations = self.observe(doc_id)
+    def build_timeline(self, ids: DataFrame, progress: Callable = lambda p, s: None) -> DataFrame:
+        """Observations, stages, events and graph of documents; returns ``doc_id, detail`` of those whose windows could all be read."""
+        ids = self.observe(ids)
+        observations = self.store.read("observations", ids)
         progress(0.42, "windows read")
-        self.infer_stages(doc_id, observations)
+        self.infer_stages(observations)
         progress(0.48, "stages named")
-        instructions, failed = self.merge_observations(doc_id, observations)
-        self.store.replace("instructions", instructions)
-        instructions = self.store.read("instructions").where(F.col("doc_id") == doc_id)
+        instructions, failed = self.merge_observations(observations, ids)
+        self.store.replace("instructions", instructions, ids)
         progress(0.80, "observations merged")
-        events = chronology.with_ids(chronology.chronology(merge.fold_arrow(instructions), self.store.taxonomy(doc_id)))
+        events = chronology.with_ids(chronology.chronology(merge.fold_arrow(self.store.read("instructions", ids)), self.store.taxonomies(ids)))
         described = events.withColumn("_text", text.event_text(F.col("event_name"), F.col("core_event"), F.col("characters"), F.col("location")))
-        self.store.replace("events", models.embed(described, self.make_client, "_text", batch=self.conf.embed_batch))
+        self.store.replace("events", models.embed(described, self.make_client, "_text", batch=self.conf.embed_batch), ids)
         progress(0.93, "events stored")
-        stored = self.ranked_events(doc_id)
-        candidates = graph.chain(stored).unionByName(graph.causal(stored))
+        stored = chronology.ranked(self.store.read("events", ids))
+        candidates = self._kept("candidates", graph.chain(stored).unionByName(graph.causal(stored)))
         combined = graph.combine(candidates)
-        self.store.replace("edges", graph.repair(combined, stored))
-        self.store.replace("appears_in", graph.appears_in(stored))
+        self.store.replace("edges", graph.repair(combined, stored), ids)
+        self.store.replace("appears_in", graph.appears_in(stored), ids)
         progress(0.94, "graph stored")
-        doc = self.spark.range(1).select(F.lit(doc_id).alias("doc_id"))
-        s = evaluation.summary(doc, stored).first()
-        e = graph.repair_stats(candidates, combined, stored).first()
-        names = self.store.taxonomy(doc_id).first().taxonomy
-        return {
-            "events": s.events_total, "major": s.events_major, "minor": s.events_minor, "merges": s.merges, "windows": observations.count(), "failed": failed.count(),
-            "taxonomy": [x.name for x in names], "edges": {k: e[k] for k in e.asDict() if k != "doc_id"} if e else {},
-        }
+        return self._kept("details", self._details(ids, stored, observations, failed, graph.repair_stats(candidates, combined, stored)))
+
+    def _details(self, ids: DataFrame, events: DataFrame, observations: DataFrame, failed: DataFrame, repaired: DataFrame) -> DataFrame:
+        s = evaluation.summary(ids, events).select("doc_id", F.col("events_total").alias("events"), F.col("events_major").alias("major"), F.col("events_minor").alias("minor"), "merges")
+        counts = evaluation.row_counts(ids, windows=observations, failed=failed)
+        names = self.store.taxonomies(ids).select("doc_id", stages.names(F.col("taxonomy")).alias("taxonomy"))
+        edges = repaired.select("doc_id", F.struct(*(c for c in repaired.columns if c != "doc_id")).alias("edges"))
+        x = s.join(counts, "doc_id").join(names, "doc_id").join(edges, "doc_id", "left")
+        return x.select("doc_id", F.to_json(F.struct(*(c for c in x.columns if c != "doc_id"))).alias("detail"))
 
     # reading
 
     def ranked_events(self, doc_id: str) -> DataFrame:
-        return chronology.ranked(self.store.read("events").where(F.col("doc_id") == doc_id))
+        return chronology.ranked(self.store.read("events", doc_id))
 
     def events(self, doc_id: str) -> DataFrame:
         return self.ranked_events(doc_id).drop("embedding").orderBy("rank")
 
     def graph(self, doc_id: str) -> tuple[DataFrame, DataFrame]:
-        own = self.store.read("events").where(F.col("doc_id") == doc_id)
-        return graph.nodes(own), graph.edges_between(self.store.read("edges").where(F.col("doc_id") == doc_id), own)
+        own = self.store.read("events", doc_id)
+        return graph.nodes(own), graph.edges_between(self.store.read("edges", doc_id), own)
 
     def observations(self, doc_id: str, limit: int = 20) -> DataFrame:
-        return stores.observation_list(self.store.read("observations"), doc_id, limit)
+        return stores.observation_list(self.store.read("observations", doc_id), doc_id, limit)
 
     def taxonomy(self, doc_id: str) -> DataFrame:
         self.pages(doc_id)
-        return self.store.taxonomy(doc_id)
+        return self.store.taxonomies(self.ids(doc_id))
 
     def metrics(self, doc_id: str, gold: DataFrame | None = None) -> dict:
         """Everything that is measured of a document; the order's quality only against a ``gold(doc_id, pos, event_name)``."""
         doc = self.spark.range(1).select(F.lit(doc_id).alias("doc_id"))
         events = self.ranked_events(doc_id)
-        own = lambda t: self.store.read(t).where(F.col("doc_id") == doc_id)
+        own = lambda t: self.store.read(t, doc_id)
         out = evaluation.summary(doc, events).first().asDict()
         out |= evaluation.row_counts(doc, chunks=own("chunks"), observations=own("observations")).first().asDict()
         runs = evaluation.run_averages(own("query_runs")).first()
@@ -223,7 +250,7 @@ class Engine:
 
     def ask_naive(self, doc_id: str, question: str, k: int | None = None) -> dict:
         began = time.perf_counter()
-        chunks = self.store.read("chunks")
+        chunks = self.store.read("chunks", doc_id)
         hits = retrieval.top_k(chunks, self._embedded(question), k or self.conf.top_chunks, ["chunk_index"], doc_id).select("doc_id", "chunk_index", "page_start", "page_end", "content", "score").collect()
         trace = [f"embedded the question into {self.conf.embed_dim} numbers", f"found the {len(hits)} nearest chunks", "put them into the prompt by similarity, not by story order"]
         held = self.spark.createDataFrame([(*h, i) for i, h in enumerate(hits, 1)], "doc_id string, chunk_index int, page_start int, page_end int, content string, score double, place int")
@@ -247,8 +274,8 @@ class Engine:
 
     def ask_timeline(self, doc_id: str, question: str, k: int | None = None) -> dict:
         began = time.perf_counter()
-        events = self.store.read("events").where(F.col("doc_id") == doc_id)
-        edges = self.store.read("edges").where(F.col("doc_id") == doc_id)
+        events = self.store.read("events", doc_id)
+        edges = self.store.read("edges", doc_id)
         seeds = retrieval.top_k(events, self._embedded(question), k or self.conf.top_events, ["id"], doc_id).select("doc_id", "id", "event_name", "score").collect()
         trace = [f"found {len(seeds)} events by meaning"]
         s = self.spark.createDataFrame([(r.doc_id, r.id) for r in seeds], "doc_id string, id string")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-import tempfile
 import threading
+import uuid
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
@@ -63,11 +63,15 @@ class Api:
         parser = {".pdf": pdf_pages, ".txt": form_feed_pages}.get(Path(name).suffix.lower())
         if parser is None:
             raise Refused(400, "a .pdf or .txt file is expected")
-        folder = Path(self.engine.conf.table("uploads"))
-        folder.mkdir(parents=True, exist_ok=True)
-        with tempfile.TemporaryDirectory(dir=folder) as own:
-            (Path(own) / name).write_bytes(r["body"])
-            out = _rows(self.engine.ingest(own, parser))
+        folder = f"{self.engine.conf.table('uploads')}/{uuid.uuid4().hex}"
+        fs, at = self.engine.store._fs(f"{folder}/{name}")
+        try:
+            to = fs.create(at)
+            to.write(bytearray(r["body"]))
+            to.close()
+            out = _rows(self.engine.ingest(folder, parser))
+        finally:
+            fs.delete(at.getParent(), True)
         if not out:
             raise Refused(400, "the file has no text")
         return out
@@ -82,8 +86,7 @@ class Api:
         doc, engine = r["doc"], self.engine
         engine.pages(doc)
         job = engine.jobs.create(doc, r["kind"])
-        run = engine.build_naive if r["kind"] == "naive" else engine.build_timeline
-        threading.Thread(target=self._run, args=(job, lambda progress: json.dumps(run(doc, progress))), daemon=True).start()
+        threading.Thread(target=self._run, args=(job, engine.work(doc, r["kind"])), daemon=True).start()
         return {"job_id": job}
 
     def _run(self, job: str, work: Callable) -> None:

@@ -6,7 +6,7 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.schemas import schema_of
@@ -31,24 +31,44 @@ def latest_jobs(jobs: DataFrame) -> DataFrame:
 class JobLog:
     def __init__(self, store: Store):
         self.store = store
-        self.seq = 0
+        self.seq = self.written = 0
 
     def _write(self, job_id: str, **fields) -> None:
+        self._write_all(self.store.spark.range(1).select(F.lit(job_id).alias("job_id")), **fields)
+
+    def _write_all(self, jobs: DataFrame, **fields) -> None:
+        """One update for each job of ``jobs(job_id, ...)``, whose other columns count as fields too."""
         fields = {k: v for k, v in fields.items() if v is not None}
-        if not fields:
+        if not fields and len(jobs.columns) < 2:
             return
         self.seq = max(self.seq + 1, time.time_ns())
-        spark = self.store.spark
-        row = Row(job_id=job_id, seq=self.seq, **{c: fields.get(c) for c in FIELDS})
         columns = schema_of("job_events")
-        df = spark.createDataFrame([tuple(row[c] if c in row else None for c in columns.fieldNames())], columns)
-        self.store.append("job_events", df.withColumn("at", F.current_timestamp()))
+        held = {"seq": F.lit(self.seq), "at": F.current_timestamp(), **{k: F.lit(v) for k, v in fields.items()}}
+        value = lambda c: F.col(c) if c in jobs.columns else held.get(c, F.lit(None))
+        self.store.append("job_events", jobs.select(*(value(f.name).cast(f.dataType).alias(f.name) for f in columns)))
+        self.written += 1
+        if self.written % self.store.conf.job_updates == 0:
+            self.store.compact("job_events")
 
     def create(self, doc_id: str, kind: str) -> str:
         job_id = f"job_{uuid.uuid4().hex[:12]}"
         self._write(job_id, doc_id=doc_id, kind=kind, status="queued", progress=0.0)
         return job_id
 
+    def create_all(self, doc_ids: DataFrame, kind: str) -> DataFrame:
+        """A running job for each document: ``job_id, doc_id``."""
+        mark = uuid.uuid4().hex
+        jobs = doc_ids.select("doc_id").distinct().select(F.concat(F.lit("job_"), F.substring(F.sha1(F.concat_ws("\x1f", F.lit(mark), F.lit(kind), "doc_id")), 1, 12)).alias("job_id"), "doc_id")
+        self._write_all(jobs, kind=kind, status="running", progress=0.01)
+        return jobs
+
+    def finish_all(self, jobs: DataFrame, details: DataFrame) -> None:
+        """End jobs: with their document's ``details(doc_id, detail)``, or as failed where it has none."""
+        ended = jobs.join(details, "doc_id", "left")
+        failed = F.col("detail").isNull()
+        status = F.when(failed, "error").otherwise("done").alias("status")
+        self._write_all(ended.select("job_id", status, F.when(failed, "windows have no observation; the finished ones are kept").alias("error"), F.when(~failed, F.lit(1.0)).alias("progress"), "detail"))
+
     def update(self, job_id: str, **fields) -> None:
         self._write(job_id, **fields)
 

@@ -1,10 +1,11 @@
-"""Tables as Parquet folders: atomic replacement by document, upserts, deletes, lists, resuming."""
+"""Tables as Parquet folders: atomic replacement by documents, upserts, deletes, lists, resuming."""
 
 from __future__ import annotations
 
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.conf import EngineConf
@@ -13,6 +14,8 @@ from loomline.schemas import TABLES, schema_of
 
 #: Tables that belong to a document and go with it.
 OWNED = ("pages", "chunks", "events", "observations", "instructions", "edges", "appears_in", "query_runs")
+#: Those of them that only grow.
+APPENDED = ("query_runs",)
 
 
 def upsert_documents(held: DataFrame, new: DataFrame) -> DataFrame:
@@ -61,41 +64,121 @@ def healthy(spark: SparkSession) -> bool:
 
 
 class Store:
-    """The tables of one engine. Tables that belong to documents are partitioned by ``doc_id``, so replacing a document's rows is one dynamic overwrite."""
+    """The tables of one engine.
+
+    A table is a folder of generations, of which the last one counts; a new one is written aside and renamed into place, so readers see the
+    old table or the new one. Rows of tables that belong to documents lie in folders by a hash of ``doc_id`` (their number does not grow with the documents) and
+    have a version; a log of heads says which version of a document counts. Replacing the rows of any number of documents appends rows and then
+    one file of heads, which makes all of them current at once. ``compact`` drops what no longer counts.
+    """
 
     def __init__(self, spark: SparkSession, conf: EngineConf):
         self.spark, self.conf = spark, conf
+        self.version = 0
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _exists(self, path: str) -> bool:
+        fs, at = self._fs(path)
+        return fs.exists(at)
+
+    def _generations(self, name: str) -> list[int]:
+        fs, at = self._fs(self.conf.table(name))
+        found = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(int(x.removeprefix("gen-")) for x in found if x.startswith("gen-"))
+
+    def _at(self, name: str, part: str = "rows") -> str:
+        """The folder of the current generation; the first one of a table that was never written."""
+        return f"{self.conf.table(name)}/gen-{(self._generations(name) or [0])[-1]}/{part}"
+
+    def _next_version(self) -> int:
+        self.version = max(self.version + 1, time.time_ns())
+        return self.version
+
     def exists(self, name: str) -> bool:
-        fs, path = self._fs(self.conf.table(name))
-        return fs.exists(path)
+        return self._exists(self._at(name))
 
-    def read(self, name: str) -> DataFrame:
-        """A table; one that was never written is empty."""
+    def read(self, name: str, doc_ids: DataFrame | str | None = None) -> DataFrame:
+        """A table, or its rows of some documents or of one; one that was never written is empty."""
         if not self.exists(name):
-            return self.spark.createDataFrame([], schema_of(name))
-        return self.spark.read.schema(TABLES[name]).parquet(self.conf.table(name))
-
-    def replace(self, name: str, rows: DataFrame) -> None:
-        """Write rows; the documents that they belong to lose their former rows, all at once."""
-        columns = schema_of(name).fieldNames()
-        (rows.select(*(F.col(c).cast(schema_of(name)[c].dataType) if c in rows.columns else F.lit(None).cast(schema_of(name)[c].dataType).alias(c) for c in columns))
-            .repartition("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(self.conf.table(name)))
+            out = self.spark.createDataFrame([], schema_of(name))
+        elif name not in OWNED:
+            out = self.spark.read.schema(TABLES[name]).parquet(self._at(name))
+        else:
+            rows = self.spark.read.schema(f"{TABLES[name]}, version long, bucket int").parquet(self._at(name))
+            if isinstance(doc_ids, str):
+                rows = rows.where(F.col("bucket") == self._bucket(F.lit(doc_ids)))
+            out = rows
+            if self._exists(self._at(name, "heads")):
+                heads = self.spark.read.schema("doc_id string, version long").parquet(self._at(name, "heads")).groupBy("doc_id").agg(F.max("version").alias("head"))
+                now = F.col("version") == F.col("head") if name not in APPENDED else F.col("head").isNull() | (F.col("version") > F.col("head"))
+                out = rows.join(heads, "doc_id", "left").where(now)
+            elif name not in APPENDED:  # rows whose heads were never written do not count
+                out = rows.limit(0)
+            out = out.select(*schema_of(name).fieldNames())
+        if isinstance(doc_ids, str):
+            return out.where(F.col("doc_id") == doc_ids)
+        return out if doc_ids is None else out.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+
+    def _bucket(self, doc_id: Column) -> Column:
+        return F.pmod(F.xxhash64(doc_id), F.lit(self.conf.buckets)).cast("int")
+
+    def _put_rows(self, name: str, rows: DataFrame, version: int) -> None:
+        schema = schema_of(name)
+        whole = rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+        placed = whole.withColumns({"version": F.lit(version).cast("long"), "bucket": self._bucket(F.col("doc_id"))})
+        # documents of one bucket may go to several tasks, so that no task has to take a whole bucket
+        placed.repartition("bucket", "doc_id").sortWithinPartitions("bucket", "doc_id").write.mode("append").partitionBy("bucket").parquet(self._at(name))
+
+    def replace(self, name: str, rows: DataFrame, doc_ids: DataFrame | None = None) -> None:
+        """Write rows; the documents that they belong to, or those of ``doc_ids``, lose their former rows, all at once."""
+        version = self._next_version()
+        self._put_rows(name, rows, version)
+        if doc_ids is None:
+            doc_ids = self.spark.read.schema(f"{TABLES[name]}, version long, bucket int").parquet(self._at(name)).where(F.col("version") == version)
+        self._put_heads(name, doc_ids, version)
+
+    def _put_heads(self, name: str, doc_ids: DataFrame, version: int) -> None:
+        heads = doc_ids.select("doc_id").distinct().withColumn("version", F.lit(version).cast("long"))
+        heads.coalesce(1).write.mode("append").parquet(self._at(name, "heads"))
 
     def append(self, name: str, rows: DataFrame) -> None:
-        rows.select(*schema_of(name).fieldNames()).write.mode("append").parquet(self.conf.table(name))
+        if name in OWNED:
+            self._put_rows(name, rows, self._next_version())
+        else:
+            rows.select(*schema_of(name).fieldNames()).write.mode("append").parquet(self._at(name))
 
     def swap(self, name: str, rows: DataFrame) -> None:
-        """Replace a whole small table: written beside it, then moved into its place."""
-        fs, path = self._fs(self.conf.table(name))
-        beside = f"{self.conf.table(name)}-{uuid.uuid4().hex}"
-        rows.write.parquet(beside)
-        fs.delete(path, True)
-        fs.rename(self._fs(beside)[1], path)
+        """Replace a whole small table."""
+        self._new_generation(name, {"rows": rows})
+
+    def _new_generation(self, name: str, parts: dict[str, DataFrame], by: str | None = None) -> None:
+        """Written aside, renamed into place; the generation before it stays for those who read it now."""
+        numbers = self._generations(name)
+        beside = f"{self.conf.table(name)}/new-{uuid.uuid4().hex}"
+        for part, rows in parts.items():
+            (rows.write.partitionBy(by) if by and part == "rows" else rows.write).parquet(f"{beside}/{part}")
+        fs, at = self._fs(beside)
+        if not fs.rename(at, self._fs(f"{self.conf.table(name)}/gen-{(numbers or [0])[-1] + 1}")[1]):
+            raise OSError(f"{name}: the new generation was not put into place")
+        for n in numbers[:-1]:
+            fs.delete(self._fs(f"{self.conf.table(name)}/gen-{n}")[1], True)
+
+    def compact(self, name: str) -> None:
+        """Rewrite a table's current rows without what no longer counts."""
+        if not self.exists(name):
+            return
+        if name not in OWNED:
+            self.swap(name, self.read(name).coalesce(1))
+            return
+        version = self._next_version()
+        rows = self.read(name).withColumns({"version": F.lit(version).cast("long"), "bucket": self._bucket(F.col("doc_id"))})
+        parts = {"rows": rows.repartition("bucket", "doc_id").sortWithinPartitions("bucket", "doc_id")}
+        if name not in APPENDED:
+            parts["heads"] = rows.select("doc_id", "version").distinct().coalesce(1)
+        self._new_generation(name, parts, "bucket")
 
     def put_documents(self, new: DataFrame) -> None:
         self.swap("documents", upsert_documents(self.read("documents"), _as_documents(new)))
@@ -103,26 +186,22 @@ class Store:
     def delete(self, doc_id: str) -> None:
         """Remove a document and what belongs to it. Its jobs stay."""
         self.swap("documents", self.read("documents").where(F.col("id") != doc_id))
+        gone = self.spark.range(1).select(F.lit(doc_id).alias("doc_id"))
         for name in OWNED:
-            if not self.exists(name):
-                continue
-            if name == "query_runs":
-                self.swap(name, self.read(name).where(F.col("doc_id") != doc_id))
-            else:
-                fs, path = self._fs(f"{self.conf.table(name)}/doc_id={doc_id}")
-                fs.delete(path, True)
-
-    def save_taxonomy(self, doc_id: str, taxonomy: DataFrame) -> None:
-        """``taxonomy`` is one row with an array of stages."""
-        t = taxonomy.select(F.lit(doc_id).alias("t_id"), F.col("taxonomy").alias("t_tax"))
+            if self.exists(name):
+                self._put_heads(name, gone, self._next_version())
+
+    def save_taxonomies(self, taxonomies: DataFrame) -> None:
+        """``taxonomies(doc_id, taxonomy)`` has an array of stages for each of some documents."""
+        t = taxonomies.select(F.col("doc_id").alias("t_id"), F.col("taxonomy").alias("t_tax"))
         d = self.read("documents").join(t, F.col("id") == F.col("t_id"), "left")
         self.swap("documents", d.withColumn("taxonomy", F.coalesce("t_tax", "taxonomy")).drop("t_id", "t_tax"))
 
-    def taxonomy(self, doc_id: str) -> DataFrame:
-        """``doc_id, taxonomy``: the document's stages normalised, or the default ones."""
-        d = self.read("documents").where(F.col("id") == doc_id).select("taxonomy")
-        one = self.spark.range(1).select(F.lit(doc_id).alias("doc_id")).join(d, F.lit(True), "left")
-        return one.select("doc_id", F.when(F.coalesce(F.size("taxonomy"), F.lit(0)) > 0, stages.normalize(F.col("taxonomy"))).otherwise(stages.default_stages()).alias("taxonomy"))
+    def taxonomies(self, doc_ids: DataFrame) -> DataFrame:
+        """``doc_id, taxonomy``: each document's stages normalised, or the default ones."""
+        d = self.read("documents").select(F.col("id").alias("doc_id"), "taxonomy")
+        own = doc_ids.select("doc_id").distinct().join(d, "doc_id", "left")
+        return own.select("doc_id", F.when(F.coalesce(F.size("taxonomy"), F.lit(0)) > 0, stages.normalize(F.col("taxonomy"))).otherwise(stages.default_stages()).alias("taxonomy"))
 
 
 def _as_documents(new: DataFrame) -> DataFrame:

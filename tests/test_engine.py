@@ -43,9 +43,9 @@ def test_build_ask_and_measure(built):
     assert engine.metrics(doc, gold)["pairwise_accuracy"] is not None
     listed = engine.documents().first()
     assert listed.naive_ready and listed.timeline_ready
-    before = engine._table("skimmed", "key string").count()
-    engine.observe(doc)  # nothing is skimmed twice
-    assert engine._table("skimmed", "key string").count() == before
+    before = engine._skimmed().count()
+    assert engine.observe(engine.ids(doc)).count() == 1  # nothing is skimmed twice
+    assert engine._skimmed().count() == before
     nodes, edges = engine.graph(doc)
     assert nodes.count() == len(events) and edges.count() >= len(events) - 1
 
@@ -59,6 +59,52 @@ def test_reupload_changes_the_title_only(built):
     assert [(d.title, d.page_count) for d in got] == [("Other", 24)]
 
 
+def test_builds_of_many_documents_equal_single_ones(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"book_{k}.txt").write_text("\f".join(f"There Anna{k} met number {i} at the wall. Then {k} ships left." for i in range(1, 13 + 9 * k)))
+    one, all_ = (Engine(spark, EngineConf(root=str(tmp_path / x), buckets=2)) for x in ("one", "all"))
+    docs = [d.id for e in (one, all_) for d in e.ingest(str(tmp_path / "in")).collect()]
+    assert len(set(docs)) == 3
+    for kind in ("naive", "timeline"):
+        for d in sorted(set(docs)):
+            one.build(d, kind)
+        jobs = all_.build_all(all_.ids(*set(docs), "nobody"), kind).collect()
+        assert {j.doc_id for j in jobs} == set(docs)
+        states = {s.doc_id: s for s in (all_.jobs.get(j.job_id).first() for j in jobs)}
+        assert {s.status for s in states.values()} == {"done"}
+        for d in set(docs):
+            assert json.loads(states[d].detail) == json.loads(one.jobs.latest(d).where(f"kind = '{kind}'").first().detail)
+    for t in ("chunks", "observations", "instructions", "events", "edges", "appears_in"):
+        assert sorted(map(str, one.store.read(t).collect())) == sorted(map(str, all_.store.read(t).collect())) != []
+
+
+def test_replaced_rows_are_visible_when_their_heads_are(spark, tmp_path):
+    store = Engine(spark, EngineConf(root=str(tmp_path), buckets=3, job_updates=3)).store
+    rows = lambda *x: spark.createDataFrame(x, "doc_id string, page_no int, content string")
+    held = lambda **how: sorted(map(tuple, store.read("pages", **how).collect()))
+    store._put_rows("pages", rows(("z", 1, "lost")), 7)  # a write that did not get to its heads
+    assert held() == []
+    store.replace("pages", rows(("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")))
+    store.replace("pages", rows(("a", 1, "new")))
+    store._put_rows("pages", rows(("b", 1, "lost")), store._next_version())
+    assert held() == [("a", 1, "new"), ("b", 1, "z")] and held(doc_ids="a") == [("a", 1, "new")]
+    store.compact("pages")
+    assert held() == [("a", 1, "new"), ("b", 1, "z")]
+    store.replace("pages", rows(), spark.createDataFrame([("b",)], "doc_id string"))
+    assert held() == [("a", 1, "new")] and held(doc_ids=spark.createDataFrame([("b",), ("b",)], "doc_id string")) == []
+
+
+def test_job_log_is_compacted(spark, tmp_path):
+    engine = Engine(spark, EngineConf(root=str(tmp_path), job_updates=3))
+    job = engine.jobs.create("d", "naive")
+    for i in range(6):
+        engine.jobs.update(job, progress=i / 10)
+    assert engine.store._generations("job_events")[-1] == 2
+    state = engine.jobs.get(job).first()
+    assert state.status == "queued" and round(state.progress, 3) == 0.5
+
+
 def test_unknown_documents_and_kinds(built):
     engine, docs, _ = built
     with pytest.raises(LookupError):
