@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.session import importable
@@ -217,8 +217,25 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def one_of_each(docs: DataFrame, kept: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose ``keys`` (expressions over ``docs`` by the columns of ``kept``) stand in ``kept``: one row for each.
+
+    ``kept`` has a row for each row of ``docs`` that may stay. Only keys that stand there more than once need a choice between rows.
+    """
+    marks = stash(kept.groupBy(*keys).agg(F.count("*").alias("_n")))
+    named = lambda of: [expr.eqNullSafe(of[name]) for name, expr in keys.items()]
+    single = marks.where("_n = 1")
+    once = docs.join(single, named(single), "left_semi")
+    several = marks.where("_n > 1")
+    if several.isEmpty():
+        return once
+    again = docs.join(several, named(several)).select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *keys)
+    first = again.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.to_json("row"))))
+    return once.unionByName(first.where("place = 1").select("row.*"))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(a, b)`` (long ids): ``node, component`` with the smallest reachable id.
+    """Connected components of ``edges(a, b)`` (long ids): a staging table ``node, component`` with the smallest reachable id.
 
     Each batch of edges is first contracted by union-find where it lies; then rounds of
     large-star and small-star joins run until nothing changes. Every round is
@@ -244,7 +261,9 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if mark == before:
             roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+            out = stash(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots))
+            drop_stash(now)
+            return out
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
