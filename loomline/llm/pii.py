@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -104,31 +105,61 @@ def plain_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Tape:
-    """A text under rewriting: its characters and the source span of each."""
+    """A text under rewriting, and for places in it the places in the source that they come from.
+
+    Only the pieces that rewriting made are kept, so a long text with few disguises needs little more than itself.
+    """
 
     def __init__(self, text: str):
         self.text = text
-        self.edits: list[tuple[int, int, int, int]] | None = None
-        self.start = self.end = None
+        #: Of every piece: where it begins here, where in the source, and where its source ends; -1 there for a piece copied from the source.
+        self.at, self.start, self.end = array("q", [0]), array("q", [0]), array("q", [-1])
+
+    def _source(self, place: int, ends: bool) -> int:
+        """Where the source of the character at ``place`` starts or ends."""
+        i = bisect_right(self.at, place) - 1
+        if self.end[i] >= 0:
+            return self.end[i] if ends else self.start[i]
+        return self.start[i] + place - self.at[i] + ends
+
+    def source(self, start: int, end: int) -> tuple[int, int]:
+        """The span of the source that [start, end) comes from; it is not empty."""
+        return self._source(start, False), self._source(end - 1, True)
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
-        """Replace [start, end) by a string, for disjoint edits in order."""
+        """Replace [start, end) by a string, for disjoint edits in order; one pass over edits and pieces."""
         if not edits:
             return
-        if self.start is None:
-            self.start, self.end = list(range(len(self.text))), list(range(1, len(self.text) + 1))
-        text, start, end, at = [], [], [], 0
+        text, at, start, end = [], array("q"), array("q"), array("q")
+        size = done = piece = 0
+
+        def copy(until: int) -> None:
+            nonlocal size, piece
+            place = done
+            while place < until:
+                while piece + 1 < len(self.at) and self.at[piece + 1] <= place:
+                    piece += 1
+                stop = min(until, self.at[piece + 1] if piece + 1 < len(self.at) else until)
+                at.append(size)
+                start.append(self.start[piece] if self.end[piece] >= 0 else self.start[piece] + place - self.at[piece])
+                end.append(self.end[piece])
+                size += stop - place
+                place = stop
+
         for a, b, put in edits:
-            text.append(self.text[at:a])
-            start += self.start[at:a]
-            end += self.end[at:a]
+            copy(a)
+            text.append(self.text[done:a])
             if put:
+                s, e = self.source(a, b)
+                at.append(size)
+                start.append(s)
+                end.append(e)
+                size += len(put)
                 text.append(put)
-                start += [self.start[a]] * len(put)
-                end += [self.end[b - 1]] * len(put)
-            at = b
-        text.append(self.text[at:])
-        self.start, self.end = start + self.start[at:], end + self.end[at:]
+            done = b
+        copy(len(self.text))
+        text.append(self.text[done:])
+        self.at, self.start, self.end = (at, start, end) if at else (array("q", [0]), array("q", [0]), array("q", [-1]))
         self.text = "".join(text)
 
 
@@ -194,7 +225,7 @@ def _unspell(text: str) -> list[tuple[int, int, str]]:
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Plain spans, and plain and disguised ones."""
     base = plain_spans(text)
-    tape, low, spelled = Tape(text), None, []
+    tape, spelled = Tape(text), []
     if not text.isascii() and _FOREIGN.search(text):
         tape.rewrite(_fold_letters(text))
     low = tape.text.lower()
@@ -207,26 +238,30 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     if _MAYBE_SPELLED.search(tape.text):
         spelled = _unspell(tape.text)
         tape.rewrite(spelled)
-    if tape.start is None:
+    if tape.text == text:
         return base, base
     found = list(base)
     plain = [[(a, b) for a, kind, b in base if kind == k] for k in range(len(KINDS))]
-    reach = 0
-    extra = [(s, k, e) for s, k, e in plain_spans(tape.text)]
-    # a row of spelled digits without a plus is a phone number if its length allows it
-    shift = 0
+    reach = [0] * len(KINDS)
+    extra = plain_spans(tape.text)
+    # a row of spelled digits without a plus is a phone number if its length allows it, where nothing else was found
+    shift, i, covered = 0, 0, 0
+    phones = []
     for a, b, put in spelled:
         a += shift
         shift += len(put) - (b - (a - shift))
-        if put.isdigit() and 9 <= len(put) <= 15 and not any(s <= a < e for s, _, e in extra):
-            extra.append((a, 3, a + len(put)))
-    for s, k, e in sorted(extra):
-        start, end = tape.start[s], tape.end[e - 1]
+        while i < len(extra) and extra[i][0] <= a:
+            covered = max(covered, extra[i][2])
+            i += 1
+        if put.isdigit() and 9 <= len(put) <= 15 and covered <= a:
+            phones.append((a, 3, a + len(put)))
+    for s, k, e in sorted(extra + phones):
+        start, end = tape.source(s, e)
         i = bisect_right(plain[k], (start, len(text))) - 1
-        if text[start:end] == tape.text[s:e] or start < reach or i >= 0 and plain[k][i][1] >= end:
+        if text[start:end] == tape.text[s:e] or start < reach[k] or i >= 0 and plain[k][i][1] >= end:
             continue
         found.append((start, k, end))
-        reach = end
+        reach[k] = end
     return base, sorted(found)
 
 
@@ -245,7 +280,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """``doc_id, spans``: an array of (kind, start, end, plain) for every whole text, by start and then kind.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Offsets count code points, the end is exclusive.
-    Null and empty texts have no spans. Every input row gives one row, repeated rows and null ids too.
+    Null and empty texts have no spans. Every input row gives one row, repeated rows and null ids too. A very long text is read whole, in
+    time in proportion to its length; besides the text, its spans and a few numbers for each disguise are held. An empty table gives an empty table.
     """
     small_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_scan, "doc_id long, spans array<struct<kind:string,start:long,end:long,plain:boolean>>")

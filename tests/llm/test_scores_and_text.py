@@ -156,6 +156,42 @@ def test_disguises_around_plain_fragments(text, hidden):
     assert base and set(base) <= set(found) and (text.index(hidden), 0, text.index(hidden) + len(hidden)) in found, found
 
 
+@pytest.mark.parametrize("text, kind, hidden", [("mike@corp[.]io", "email", "mike@corp[.]io"), ("mike[@]corp.io", "email", "mike[@]corp.io"), ("10[.]0[.]0[.]1", "ip", "10[.]0[.]0[.]1")])
+def test_signs_in_brackets_alone(text, kind, hidden):
+    for around in ("{}", "x {} y", "{} see that dot"):
+        whole = around.format(text)
+        assert (whole.index(hidden), pii.KINDS.index(kind), whole.index(hidden) + len(hidden)) in pii.all_spans(whole)[1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", min_size=1, max_size=30), st.lists(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 4), st.sampled_from(["", "X", "YZ"])), max_size=5), max_size=3))
+def test_tape_maps_back(text, rounds):
+    tape, want = pii.Tape(text), [(c, i, i + 1) for i, c in enumerate(text)]
+    for edits in rounds:
+        own, last = [], 0
+        for a, n, put in sorted(edits):
+            if a >= last and a + n <= len(tape.text):
+                own.append((a, a + n, put))
+                last = a + n
+        tape.rewrite(own)
+        for a, b, put in own[::-1]:
+            want[a:b] = [(c, want[a][1], want[b - 1][2]) for c in put]
+    assert tape.text == "".join(c for c, _, _ in want)
+    assert [tape.source(i, i + 1) for i in range(len(want))] == [(s, e) for _, s, e in want]
+
+
+def test_many_disguises_are_linear():
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        began = time.perf_counter()
+        _, found = pii.all_spans("joe [at] corp.io and four one five five five five zero one two three; " * n)
+        took.append(time.perf_counter() - began)
+        assert len(found) == 2 * n
+    assert took[1] < 8 * took[0]
+
+
 def test_plain_spans_are_not_found_twice():
     text = "a\u200b and john@example.com, 10.0.0.7, +1 415 555 0123"
     base, found = pii.all_spans(text)
