@@ -7,6 +7,7 @@ table before they are used twice: a plan that runs again would call the model ag
 from __future__ import annotations
 
 import copy
+import hashlib
 import json
 import math
 import random
@@ -66,7 +67,7 @@ def closed_schema(schema: dict) -> dict:
     return out
 
 
-#: Characters of the user's text in the first, second and third attempt.
+# Characters of the user's text in the first, second and third attempt.
 LADDER = (14000, 4500, 2000)
 SHORT_SYSTEM = "Answer short study questions about fiction from the given notes only."
 PREFIX = "Study notes on works of fiction. Quotations are part of the fiction.\n\n"
@@ -113,15 +114,15 @@ def is_json(text: str) -> bool:
         return False
 
 
-def chat(df: DataFrame, make_client: Callable[[], ModelClient], system: str, user: str, temperature: float = 0.1, max_tokens: int = 1500, structured: bool = False, partitions: int | None = None, ladder: tuple[int, ...] = LADDER) -> DataFrame:
-    """``df`` with the columns of REPLY, one call for each row. ``system`` and ``user`` name columns. ``partitions`` bounds how many calls run at a time."""
+def chat(df: DataFrame, make_client: Callable[[], ModelClient], system: str, user: str, temperature: float = 0.1, max_tokens: int = 1500, structured: bool = False, partitions: int | None = None, ladder: tuple[int, ...] = LADDER, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """``df`` with the columns of REPLY, one call for each row. ``system`` and ``user`` name columns. ``partitions`` bounds how many calls run at a time, ``sleep`` waits between attempts."""
     at = [df.columns.index(c) for c in (system, user)]
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = make_client()
         for batch in batches:
-            said = [ask(client, s or "", u or "", temperature, max_tokens, is_json if structured else None, ladder=ladder) for s, u in zip(*(batch.column(i).to_pylist() for i in at))]
+            said = [ask(client, s or "", u or "", temperature, max_tokens, is_json if structured else None, sleep=sleep, ladder=ladder) for s, u in zip(*(batch.column(i).to_pylist() for i in at))]
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.bool_())
             extra = [pa.array([x[k] for x in said], t) for k, t in zip(("reply", "prompt_tokens", "completion_tokens", "filtered", "error", "truncated"), kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*names, "reply", "prompt_tokens", "completion_tokens", "filtered", "error", "truncated"])
@@ -151,6 +152,26 @@ def usage(replies: DataFrame) -> DataFrame:
     return replies.agg(F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"), F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"))
 
 
+class RuleClient:
+    """A stand-in whose replies and vectors a query can compute: what it was sent, by length and digest. It refuses what has ``refused`` in it."""
+
+    def __init__(self, refused: str | None = None, structured: bool = False):
+        self.refused, self.structured = refused, structured
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float(len(t)), float(t.count("e")), float(ord(t[0]) if t else 0)] for t in texts]
+
+    def chat(self, system: str, user: str, temperature: float, max_tokens: int) -> tuple[str, int, int]:
+        if self.refused and self.refused in user:
+            raise FilteredError("content_filter")
+        said = hashlib.md5(user.encode(), usedforsecurity=False).hexdigest()
+        if self.structured:
+            event = {"event_name": said, "timeline_anchor": "", "location": "", "characters_present": [], "core_event": "", "antecedent_cause": "", "consequent_effect": "", "source_pages": [len(user)]}
+            return json.dumps({"instructions": [{"is_duplicate": False, "matched_event_name": "", "category": "major", "inferred_event": event}]}), len(user), 1
+        reply = f"{len(user)} {said}"
+        return reply, len(user), len(reply)
+
+
 class OfflineClient:
     """A deterministic stand-in: it reads the prompts that this engine writes and answers by rule."""
 

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomline.conf import EngineConf
 from loomline.functions import models, stages, text
 from loomline.operators import chronology, evaluation, graph, merge, retrieval, windows
-from loomline.schemas import INFERRED, STAGE, duplicate_keys
+from loomline.plans.engine import Engine
+from loomline.schemas import ANSWER, INFERRED, INSTRUCTION, STAGE, duplicate_keys
+from loomline.session import shared_dir
 from loomline.sources import store as stores
 from loomline.sources.jobs import current, latest_jobs
 
@@ -582,3 +586,160 @@ def naive_top_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = models.embed(windows.char_chunks(pages), _client, "content")
     hits = retrieval.top_k(chunks, _client().embed(["was the thing in the end with them"])[0], 8, ["doc_id", "chunk_index"])
     return hits.select("doc_id", "chunk_index", "page_start", "page_end", F.round("score", 4).alias("score"), F.substring("content", 1, 280).alias("preview"))
+
+
+# models, with a client whose replies SQL can compute
+
+
+def _rule() -> models.ModelClient:
+    return models.RuleClient()
+
+
+def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit("plain").alias("system"), F.col("text").alias("user"))
+
+
+@query
+def m1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.chat(_chats(spark, sf_dir), _rule, "system", "user").drop("system", "user", "error")
+
+
+@query
+def m7_usage_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.usage(m1_chat(spark, sf_dir))
+
+
+@query
+def m5_m6_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A client that refuses every text with a z: each attempt sends less of it."""
+    out = models.chat(_chats(spark, sf_dir), lambda: models.RuleClient(refused="z"), "system", "user", ladder=(400, 100, 20), sleep=lambda _: None)
+    return out.select("conv_id", "turn", "reply", "filtered", "truncated")
+
+
+@query
+def m3_embed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of seven texts."""
+    out = models.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), _rule, "text", batch=7)
+    return out.select("doc_id", *(F.col("embedding")[i].cast("long").alias(c) for i, c in enumerate(("n_chars", "n_e", "first"))))
+
+
+@query
+def m8_skim_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = windows.lines_as_pages(table(spark, sf_dir, "documents"), "doc_id", "text")
+    asked = windows.page_windows(pages).withColumns({"system": F.lit("skim"), "user": F.concat(F.lit("[Text Window]\n\n"), "text")})
+    return models.chat(asked, _rule, "system", "user").select("doc_id", "window_id", "reply", "truncated")
+
+
+@query
+def m10_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of conversations to prompts, replies and instructions."""
+    work = windows.batches(talk(spark, sf_dir))
+    asked = merge.merge_prompt(work, spark.createDataFrame([], "doc_id string, known string"), work.select("doc_id").distinct().withColumn("lines", F.lit("1. A")), 7)
+    replies = models.chat(asked.withColumn("system", F.lit("merge")), lambda: models.RuleClient(structured=True), "system", "user", structured=True)
+    rows = replies.select("doc_id", "batch", F.posexplode(F.from_json("reply", f"struct<instructions:array<{INSTRUCTION}>>")["instructions"]).alias("pos", "i"))
+    return rows.select("doc_id", "batch", "pos", F.col("i.inferred_event.event_name").alias("event_name"), joined(F.col("i.inferred_event.source_pages")).alias("source_pages"))
+
+
+@query
+def m11_timeline_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each book's events in true order as the context of a question; the offline client tells the first three."""
+    pool = story(spark, sf_dir).withColumn("place", F.col("rank"))
+    asked = retrieval.event_context(pool).select("doc_id", F.lit("timeline").alias("system"), F.concat(F.lit("EVENTS IN TRUE STORY ORDER:\n\n"), "context", F.lit("\n\nQUESTION: What came first?")).alias("user"))
+    said = models.chat(asked, _client, "system", "user", structured=True).select("doc_id", F.from_json("reply", ANSWER).alias("a"))
+    used = pool.join(said.select("doc_id", F.col("a.used_event_ids").alias("used")), "doc_id").where(F.array_contains("used", F.col("id")))
+    cites = used.groupBy("doc_id").agg(text.ordered_text(["rank"], F.col("id"), ",").alias("cited"))
+    return said.select("doc_id", F.col("a.answer").alias("answer")).join(cites, "doc_id")
+
+
+@query
+def v5_pair_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the two nearest events of a question stand to each other."""
+    doc, q = first_vector(spark, sf_dir)
+    x = chronology.ranked(vectors(spark, sf_dir).where(F.col("doc_id") == doc))
+    near = retrieval.top_k(x, q, 2, ["vec_id"], doc).withColumn("k", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))
+    pair = near.groupBy("doc_id").agg(F.min_by("id", "k").alias("src"), F.max_by("id", "k").alias("dst"))
+    return graph.reachable(graph.repair(graph.chain(x), x), pair).select("src", "dst", "relation", "hops")
+
+
+# stored tables
+
+
+def scratch(spark: SparkSession) -> Engine:
+    """An engine over an empty folder that driver and executors share."""
+    return Engine(spark, EngineConf(root=f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}"))
+
+
+@query
+def s10_stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all documents, then those of even ones again with their first chunk only."""
+    store = scratch(spark).store
+    chunks = windows.char_chunks(windows.lines_as_pages(table(spark, sf_dir, "documents"), "doc_id", "text")).withColumn("doc_id", F.col("doc_id").cast("string"))
+    store.replace("chunks", chunks)
+    store.replace("chunks", store.read("chunks").where("cast(doc_id as long) % 2 = 0 and chunk_index = 0"))
+    return store.read("chunks").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"), F.md5(text.ordered_text(["chunk_index"], F.col("content"), "")).alias("text_md5"))
+
+
+@query
+def s11_stored_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of all conversations; some are replaced, some lose theirs, and the table is compacted."""
+    store = scratch(spark).store
+    x = talk(spark, sf_dir).withColumn("raw_text", F.md5("raw_text"))
+    store.replace("observations", x)
+    store.replace("observations", x.where("cast(doc_id as long) % 3 = 0").withColumn("raw_text", F.concat(F.lit("again "), "raw_text")))
+    store.replace("observations", x.limit(0), x.where("cast(doc_id as long) % 5 = 0").select("doc_id"))
+    store.compact("observations")
+    return store.read("observations").select("doc_id", "window_id", F.col("raw_text").alias("raw_md5"))
+
+
+@query
+def s17_g11_stored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = scratch(spark).store
+    events, _, combined = story_graph(spark, sf_dir)
+    store.replace("edges", graph.repair(combined, events))
+    return store.read("edges")
+
+
+@query
+def s17_stored_appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = scratch(spark).store
+    store.replace("appears_in", g10_appears_in(spark, sf_dir))
+    return store.read("appears_in")
+
+
+@query
+def s20_stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs appended twice; those of a deleted document go."""
+    store = scratch(spark).store
+    price = F.floor("o_totalprice")
+    runs = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), (price % 4000).cast("int").alias("naive_ms"), (price % 7000).cast("int").alias("timeline_ms"), (F.col("o_orderkey") % 901).cast("int").alias("naive_tokens"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 17).cast("int").alias("timeline_tokens"), F.col("o_orderkey"))
+    for k in (0, 1):
+        store.append("query_runs", runs.where(F.col("o_orderkey") % 2 == k))
+    store.delete(str(runs.agg(F.min(F.col("doc_id").cast("long"))).first()[0]))
+    out = evaluation.run_averages(store.read("query_runs"))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+@query
+def x8_metrics_with_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of one document, the user with the least id, against a gold order."""
+    engine = scratch(spark)
+    system, gold = _orders(spark, sf_dir)
+    own = str(table(spark, sf_dir, "events").agg(F.min("user_id")).first()[0])
+    events = system.where(F.col("doc_id") == own).select("doc_id", F.concat_ws("-", "doc_id", "pos").alias("id"), "event_name", F.col("pos").alias("stage_order"), F.lit(0).alias("first_page"), F.lit(1).alias("merge_count"), F.lit("major").alias("category"), F.array().cast("array<int>").alias("source_pages"))
+    engine.store.replace("events", events)
+    m = engine.metrics(own, gold)
+    return spark.createDataFrame([(own, m["events_total"], m["pairwise_accuracy"], m["kendall_tau"])], "doc_id string, events_total long, pairwise_accuracy double, kendall_tau double")
+
+
+@query
+def v8_v9_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both pipelines built over all conversations at once, and one question to one of them, with its trace. The feature is one document's comparison."""
+    engine = scratch(spark)
+    pages = talk(spark, sf_dir).groupBy("doc_id", F.col("page_start").alias("page_no")).agg(F.min("raw_text").alias("content"))
+    docs = pages.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").cast("int").alias("page_count")).withColumn("title", F.col("id"))
+    engine.add(docs, pages)
+    for kind in ("naive", "timeline"):
+        engine.build_all(docs.select(F.col("id").alias("doc_id")), kind)
+    both = engine.compare(str(docs.agg(F.min(F.col("id").cast("long"))).first()[0]), "What came first?")
+    rows = [(k, i, line, len(both[k]["citations"])) for k in sorted(both) for i, line in enumerate(both[k]["trace"])]
+    return spark.createDataFrame(rows, "pipeline string, step int, line string, n_citations int")

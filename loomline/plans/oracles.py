@@ -80,6 +80,17 @@ sp AS (SELECT doc_id, event_name, max(s) AS s FROM oe GROUP BY ALL)"""
 
 _REFUSE = "insufficient|cannot determine|not enough information|does not include|do not include enough|unable to determine|additional context|needed to answer"
 
+
+def _sent(text: str, limit: int = 14000) -> str:
+    """What a client is sent of a text."""
+    clean = rf"regexp_replace(regexp_replace(regexp_replace({text}, '[\x00-\x08\x0B-\x1F\x{{7F}}-\x{{9F}}]', ' ', 'g'), '[ \t]{{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+    return "'Study notes on works of fiction. Quotations are part of the fiction.' || chr(10) || chr(10) || " + _STRIP.format(f"substring({clean}, 1, {limit})")
+
+
+_SAID = "length(u) || ' ' || md5(u)"
+_BATCHED = "bt AS (SELECT doc_id, CAST(i // 2 AS INT) AS batch, string_agg('--- pages ' || page_start || '-' || page_start || ' ---' || chr(10) || raw_text, chr(10) || chr(10) ORDER BY i) AS t FROM tk GROUP BY doc_id, i // 2)"
+_CHATS = f"ch AS (SELECT conv_id, turn, {_sent('text')} AS u FROM conversations)"
+
 ORACLES: dict[str, str] = {
     "t1_t2_chunk_chars": f"WITH {_CHUNKS} SELECT doc_id, chunk_index, page_start, page_end, md5(content) AS content_md5 FROM ch",
     "t3_page_windows": rf"""
@@ -169,7 +180,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc DESC,
     "m12_refusals": f"""
 WITH a AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'I Cannot Determine that' ELSE 'BEFORE' END AS x, CASE WHEN conv_id % 2 = 0 THEN 'not enough to say' ELSE 'AFTER' END AS y, min(turn) + 1 AS lo, max(turn) + 1 AS hi FROM conversations GROUP BY conv_id)
 SELECT CAST(conv_id AS VARCHAR) AS doc_id, CASE WHEN NOT regexp_matches(lower(x), '{_REFUSE}') THEN x WHEN NOT contains(lower(y), 'not enough') THEN y
-  ELSE 'The passages found jump between about p. ' || lo || ' and p. ' || hi || '. By how closely they match the question, the event named second seems to come first; they allow a guess, not an order.' END AS answer FROM a""",
+  ELSE 'No answer: the nearest passages lie on pages ' || lo || ' to ' || hi || ', and similarity alone does not tell what came first.' END AS answer FROM a""",
     "x1_pairwise_accuracy": f"""
 WITH {_POSITIONS}, gp AS (SELECT doc_id, event_name, min(g) AS g FROM oe GROUP BY ALL), u AS (SELECT doc_id, event_name, g, s FROM gp JOIN sp USING (doc_id, event_name)),
 r AS (SELECT a.doc_id, round(avg(CASE WHEN a.s < b.s THEN 1 ELSE 0 END), 4) AS v FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.g < b.g GROUP BY a.doc_id)
@@ -214,5 +225,42 @@ SELECT CAST(o.o_custkey AS VARCHAR) AS doc_id, coalesce(nullif(CASE WHEN c_custk
     "m4_closed_schema": """SELECT '{"$defs": {"x": {"additionalProperties": false, "properties": {"c": {"type": "integer"}}, "required": ["c"]}}, "additionalProperties": false, "properties": {"a": {"$ref": "#/$defs/x"}, "b": {"type": "string"}}, "required": ["a", "b"], "type": "object"}' AS schema""",
 }
 
+ORACLES |= {
+    "m1_chat": f"WITH {_CHATS} SELECT conv_id, turn, {_SAID} AS reply, CAST(length(u) AS INT) AS prompt_tokens, CAST(length({_SAID}) AS INT) AS completion_tokens, false AS filtered, false AS truncated FROM ch",
+    "m7_usage_sums": f"WITH {_CHATS} SELECT CAST(sum(length(u)) AS BIGINT) AS prompt_tokens, CAST(sum(length({_SAID})) AS BIGINT) AS completion_tokens FROM ch",
+    "m5_m6_attempts": rf"""
+WITH a AS (SELECT conv_id, turn, [{_sent('text', 400)}, {_sent('text', 100)}, {_sent('text', 20)}] AS sent, rtrim(text) AS t FROM conversations),
+b AS (SELECT conv_id, turn, length(t) AS n, list_filter(sent, lambda x: NOT contains(x[70:], 'z'))[1] AS u, list_position(list_transform(sent, lambda x: NOT contains(x[70:], 'z')), true) AS k FROM a)
+SELECT conv_id, turn, {_SAID} AS reply, u IS NULL AS filtered, CASE WHEN k = 1 THEN n > 400 WHEN k = 2 THEN n > 100 ELSE n > 20 END AS truncated FROM b""",
+    "m3_embed_order": r"""
+WITH a AS (SELECT doc_id, substring(replace(coalesce(text, ''), chr(10), ' '), 1, 8000) AS t FROM documents) SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, CAST(length(t) - length(replace(t, 'e', '')) AS BIGINT) AS n_e, CAST(CASE WHEN t = '' THEN 0 ELSE unicode(t) END AS BIGINT) AS first FROM a""",
+    "m8_skim_windows": rf"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), n AS (SELECT *, len(ls) AS n FROM d),
+w AS (SELECT *, unnest(range(0, CAST(greatest(0, ceil((n - 10) / 8)) AS BIGINT) + 1)) * 8 AS k0 FROM n WHERE n > 0),
+b AS (SELECT doc_id, 'win_' || (k0 + 1) || '_' || least(k0 + 10, n) AS window_id, '[Text Window]' || chr(10) || chr(10) || {_STRIP.format("array_to_string(list_transform(range(k0, least(k0 + 10, n)), lambda i: '[PAGE ' || (i + 1) || ']' || chr(10) || ls[i + 1]), chr(10))")} AS body FROM w),
+c AS (SELECT doc_id, window_id, {_sent('body')} AS u, {_sent('body', 100000000)} AS whole FROM b)
+SELECT doc_id, window_id, {_SAID} AS reply, length(whole) > 14000 + 70 AS truncated FROM c""",
+    "m10_merge_rounds": f"""
+WITH {_TALK}, {_BATCHED}, p AS (SELECT doc_id, batch, {_sent("'PAGES 7' || chr(10) || '1. A' || chr(10) || 'KNOWN EVENTS: []' || chr(10) || 'OBSERVATIONS:' || chr(10) || t")} AS u FROM bt)
+SELECT doc_id, batch, CAST(0 AS INT) AS pos, md5(u) AS event_name, CAST(length(u) AS VARCHAR) AS source_pages FROM p""",
+    "m11_timeline_answers": f"""
+WITH {_STORY}, b AS (SELECT *, CASE WHEN contains(source_pages, ',') THEN 'pp. ' || replace(source_pages, ',', '-') ELSE 'p. ' || source_pages END AS lab FROM s WHERE rank <= 3)
+SELECT doc_id, string_agg(event_name || ' (' || lab || ').', ' Then ' ORDER BY rank) AS answer, string_agg(id, ',' ORDER BY rank) AS cited FROM b GROUP BY doc_id""",
+    "v5_pair_relation": f"""
+WITH {_VECTORS}, vr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY stage_order, first_page, event_name) AS rank FROM ve),
+sd AS (SELECT id, rank, row_number() OVER (ORDER BY {_COSINE} DESC, vec_id) AS k FROM vr, q0 WHERE doc_id = q_doc), a AS (SELECT id, rank FROM sd WHERE k = 1), b AS (SELECT id AS b_id, rank AS b_rank FROM sd WHERE k = 2)
+SELECT id AS src, b_id AS dst, CASE WHEN abs(b_rank - rank) > 80 THEN 'incomparable' WHEN rank < b_rank THEN 'before' ELSE 'after' END AS relation, CAST(CASE WHEN abs(b_rank - rank) > 80 THEN 0 ELSE abs(b_rank - rank) END AS INT) AS hops FROM a, b""",
+    "s10_stored_chunks": f"WITH {_CHUNKS} SELECT doc_id, CAST(CASE WHEN CAST(doc_id AS BIGINT) % 2 = 0 THEN 1 ELSE count(*) END AS BIGINT) AS n, md5(string_agg(content, '' ORDER BY chunk_index) FILTER (CAST(doc_id AS BIGINT) % 2 <> 0 OR chunk_index = 0)) AS text_md5 FROM ch GROUP BY doc_id",
+    "s11_stored_observations": f"WITH {_TALK} SELECT doc_id, window_id, CASE WHEN CAST(doc_id AS BIGINT) % 3 = 0 THEN 'again ' || md5(raw_text) ELSE md5(raw_text) END AS raw_md5 FROM tk WHERE CAST(doc_id AS BIGINT) % 5 <> 0",
+    "s17_g11_stored_edges": ORACLES["g3_g6_dag_edges"],
+    "s17_stored_appearances": ORACLES["g10_appears_in"],
+    "s20_stored_runs": ORACLES["x5_run_averages"].replace("FROM orders)", "FROM orders WHERE o_custkey <> (SELECT min(o_custkey) FROM orders))"),
+    "x8_metrics_with_gold": f"""
+WITH {_POSITIONS}, one AS (SELECT CAST(min(user_id) AS VARCHAR) AS doc_id FROM events), gp AS (SELECT event_name, min(g) AS g FROM oe JOIN one USING (doc_id) GROUP BY ALL), u AS (SELECT event_name, g, s FROM gp JOIN (SELECT event_name, s FROM sp JOIN one USING (doc_id)) USING (event_name)),
+r AS (SELECT round(avg(CASE WHEN a.s < b.s THEN 1 ELSE 0 END), 4) AS v FROM u a JOIN u b ON a.g < b.g), w AS (SELECT g, sp.s FROM oe JOIN sp USING (doc_id, event_name) JOIN one USING (doc_id)),
+k AS (SELECT round(sum(CASE WHEN a.s < b.s THEN 1 ELSE -1 END) / count(*), 4) AS v FROM w a JOIN w b ON a.g < b.g)
+SELECT doc_id, (SELECT count(*) FROM oe JOIN one USING (doc_id)) AS events_total, CAST(r.v AS DOUBLE) AS pairwise_accuracy, CAST(k.v AS DOUBLE) AS kendall_tau FROM one, r, k""",
+}
+
 ORACLES["t5_sanitize_whole"] = ORACLES["t5_sanitize"].replace(", 1, 12000)", ", 1)")
 ORACLES["t7_digest_whole"] = ORACLES["t7_digest"].replace("12000 -", "1000000000000 -")
