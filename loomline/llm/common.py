@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.session import importable
+from loomline.session import importable, shared_dir
 
 #: One word of a text: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,18 +25,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CHUNK_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured and all of Spark is one local process."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="loomline-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def stash(df: DataFrame, partition_by: str | None = None, compression: str = "none") -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: it cuts the lineage and outlives lost executors.
 

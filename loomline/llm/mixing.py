@@ -82,7 +82,7 @@ def mix(docs: DataFrame, cap: int = CAP, seed: int = 7, weights: Column | None =
     ``docs`` needs ``doc_id``, ``text`` and ``source``; other columns are ignored. Size is the number of words; null or blank texts
     have size 0 and take nothing. ``weights`` is an expression over ``place``, the
     source's place from 0 in code point order with null last; the default is 1, 2, 3, repeating. Rows
-    with the same id share their place in the seeded order. An empty table gives an empty table.
+    with the same id share their place in the seeded order. A text of any length counts with all its words. An empty table gives an empty table.
     """
     sized = stash(_sized(docs, seed))
     out = sized.join(plan(sized, cap, weights), F.col("source").eqNullSafe(F.col("p_source"))).withColumn("repeats", repeats(F.col("rank")))
@@ -90,7 +90,11 @@ def mix(docs: DataFrame, cap: int = CAP, seed: int = 7, weights: Column | None =
 
 
 def draw(docs: DataFrame, cap: int = CAP, seed: int = 7) -> DataFrame:
-    """The mix itself: every row of ``docs``, with all its columns, as often as the mix takes it."""
+    """The mix itself: every row of ``docs``, with all its columns, as often as the mix takes it.
+
+    Nulls, blank and very long texts, repeated rows and empty tables count as ``mix`` says; documents that the mix takes no words of are gone, unless
+    they have none: those come as often as their place in the order says.
+    """
     goals = plan(stash(_sized(docs, seed)), cap).select("p_source", "whole", "stop")
     rank = seeded_order(docs["doc_id"].cast("long"), seed)
     held = docs.select(F.struct(*docs.columns).alias("row"), docs["source"].alias("r_source"), rank.alias("r_rank"))

@@ -178,7 +178,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``docs`` needs ``doc_id`` and ``text``, ``labels`` ``doc_id`` and ``quality``; other columns are ignored. Rows whose
     crc32(id as text) mod 4 is 2 teach nothing. Null and empty texts have all-zero statistics and are scored like any
-    other. Without any label every score is that of an untrained model. Null ids are scored, never learned from.
+    other. Without any label every score is that of an untrained model. Null ids are scored, never learned from. Repeated rows and repeated
+    labels teach as often as they come and get equal scores. A text of any length is read whole. An empty table gives an empty table.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

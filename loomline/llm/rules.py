@@ -143,7 +143,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     ``docs`` needs ``doc_id, text, lang, source``; other columns are ignored. A null text has no words and fails the base rules.
     Null languages and sources form groups of their own. Texts that fail the base rules
-    are not part of the sketches. An empty table gives an empty table.
+    are not part of the sketches. Repeated rows count and are judged as often as they come. A text of any length is measured whole. An empty table gives an empty table.
     """
     small_batches(docs.sparkSession)
     x = measures(docs)

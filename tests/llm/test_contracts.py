@@ -1,6 +1,7 @@
 """The registered queries over the smallest tables, and their SQL."""
 
 import glob
+import hashlib
 import os
 from collections import Counter
 
@@ -10,11 +11,11 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from loomline.llm import bpe, toxicity
+from loomline.llm import bpe, exact, mixing, pii, toxicity
 from loomline.llm.queries import ORACLES, QUERIES
 from tests.llm import cases
 from tests.llm.test_dedup import brute_near
-from tests.llm.test_scores_and_text import water
+from tests.llm.test_scores_and_text import brute_spans, water
 from tests.test_queries import rows
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +72,47 @@ def test_pipeline_by_hand(spark, tmp_path):
     assert Counter((r.doc_id, tuple(r.token_ids)) for r in encoded) == Counter((r.doc_id, tuple(library.encode_ordinary(r.text))) for r in mixed)
     run = corpus_pipeline.run(spark, SF).select("doc_id", "ids_sha256").collect()
     assert sorted(map(tuple, run)) == sorted((r.doc_id, r.ids_sha256) for r in encoded)
+
+
+@pytest.mark.parametrize("table", ["awkward", "empty"])
+def test_pipeline_takes_awkward_tables(spark, tmp_path, table):
+    held = cases.frame(spark) if table == "awkward" else cases.empty(spark)
+    held.write.parquet(f"{tmp_path}/documents.parquet")
+    cases.labels(spark, 12).write.parquet(f"{tmp_path}/labels.parquet")
+    docs, kept = held, []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == held.columns or name == "byte_bpe"
+        kept.append(docs.collect())
+    mild, single, apart, mixed, encoded = kept
+    last = {}
+    for r in mild:
+        key = cases.ascii_lower(r.text)
+        last[key] = r.doc_id if key not in last or last[key] is None else max(last[key], r.doc_id if r.doc_id is not None else last[key])
+    assert Counter((r.doc_id, cases.ascii_lower(r.text)) for r in single) == Counter((k, t) for t, k in last.items())
+    groups = brute_near([(r.doc_id, r.text) for r in single if r.doc_id is not None])
+    assert Counter((r.doc_id, r.text) for r in apart) == Counter((r.doc_id, r.text) for r in single if r.doc_id is None or groups[r.doc_id][1] == r.doc_id)
+    assert {(r.doc_id, r.text) for r in mixed} <= {(r.doc_id, r.text) for r in apart}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    assert Counter((r.doc_id, tuple(r.token_ids)) for r in encoded) == Counter((r.doc_id, tuple(library.encode_ordinary(r.text or ""))) for r in mixed)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(encoded)
+
+
+def test_native_plans_have_no_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for df in (exact.exact_dedup(docs), mixing.mix(docs), mixing.draw(docs), exact.drop_exact_copies(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_base_spans_of_all_documents(spark):
+    """The query's base columns against plain patterns, over whole texts."""
+    want = {}
+    for k, t, *_ in cases.sample("sf0.01"):
+        spans = brute_spans(t or "")
+        said = ",".join(f"{pii.KINDS[kind]}:{a}:{b}" for a, kind, b in spans)
+        want[k] = (*(sum(1 for s in spans if s[1] == i) for i in range(4)), hashlib.sha256(said.encode()).hexdigest(), said)
+    for r in QUERIES["op3_personal_data"](spark, "/root/testdata/sf0.01").collect():
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == want[r.doc_id][:5]
+        assert set(filter(None, want[r.doc_id][5].split(","))) <= set(r.spans.split(","))
