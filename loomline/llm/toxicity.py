@@ -334,9 +334,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     """Train on the texts of ``training_rows``."""
     small_batches(docs.sparkSession)
     held = training_rows(docs, labels)
-    rows = sorted(held.collect())
+    rows = held.toArrow().sort_by("doc_id")
     drop_stash(held)
-    return train([r.text.encode() for r in rows], np.array([r.toxic for r in rows], np.int64), np.array([r.weight for r in rows]))
+    return train(rows["text"].cast(pa.binary()).to_pylist(), rows["toxic"].to_numpy().astype(np.int64), rows["weight"].to_numpy())
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
