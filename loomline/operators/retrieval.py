@@ -77,7 +77,7 @@ def final_answer(hits: DataFrame, answers: DataFrame) -> DataFrame:
     span = hits.groupBy("doc_id").agg(F.min("page_start").alias("low"), F.max("page_start").alias("high"))
     x = answers.join(span, "doc_id", "left")
     made = F.format_string(
-        "No answer: the nearest passages lie on pages %d to %d, and similarity alone does not tell what came first.", "low", "high"
+        "No answer: the nearest passages lie between p. %d and p. %d, and similarity alone does not tell what came first.", "low", "high"
     )
     made = F.when(F.col("low").isNull(), F.lit(None)).otherwise(made)
     second = F.coalesce("second", F.lit(""))

@@ -180,7 +180,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc DESC,
     "m12_refusals": f"""
 WITH a AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'I Cannot Determine that' ELSE 'BEFORE' END AS x, CASE WHEN conv_id % 2 = 0 THEN 'not enough to say' ELSE 'AFTER' END AS y, min(turn) + 1 AS lo, max(turn) + 1 AS hi FROM conversations GROUP BY conv_id)
 SELECT CAST(conv_id AS VARCHAR) AS doc_id, CASE WHEN NOT regexp_matches(lower(x), '{_REFUSE}') THEN x WHEN NOT contains(lower(y), 'not enough') THEN y
-  ELSE 'No answer: the nearest passages lie on pages ' || lo || ' to ' || hi || ', and similarity alone does not tell what came first.' END AS answer FROM a""",
+  ELSE 'No answer: the nearest passages lie between p. ' || lo || ' and p. ' || hi || ', and similarity alone does not tell what came first.' END AS answer FROM a""",
     "x1_pairwise_accuracy": f"""
 WITH {_POSITIONS}, gp AS (SELECT doc_id, event_name, min(g) AS g FROM oe GROUP BY ALL), u AS (SELECT doc_id, event_name, g, s FROM gp JOIN sp USING (doc_id, event_name)),
 r AS (SELECT a.doc_id, round(avg(CASE WHEN a.s < b.s THEN 1 ELSE 0 END), 4) AS v FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.g < b.g GROUP BY a.doc_id)
