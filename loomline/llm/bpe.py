@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from loomline.llm.common import BASES, chunks, mixed, release, small_batches, stash_bucketed
 
 #: Bytes of text in one block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Tokens that are decoded at a time.
+TOKENS = 1 << 16
 #: Bytes of a word that its key holds; longer words are numbered.
 KEY_BYTES = 15
 
@@ -173,11 +175,11 @@ class Block:
         return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, Block]]:
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, most: int) -> Iterator[tuple[int, Block]]:
     name = TaskContext.get().partitionId() << 32
     block = Block(pattern)
     for batch, texts in chunks(batches, "text", 1 << 19):
-        if block.size and block.size + sum(map(len, texts)) > BLOCK_BYTES:
+        if block.size and block.size + sum(map(len, texts)) > most:
             yield name, block
             name, block = name + 1, Block(pattern)
         block.add(batch.column(0), texts)
@@ -196,32 +198,36 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-#: Rows of cut texts. Without a bucket: some texts' ids, their numbers of pre-tokens, and the pre-tokens' numbers in order (the positions).
-#: With one: the block's words of that bucket, their numbers and lengths.
-CUT = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("numbers", pa.binary()), ("counts", pa.binary()), ("words", pa.binary())])
-CUT_DDL = "block long, bucket int, ids array<long>, numbers binary, counts binary, words binary"
+#: Rows of cut texts. Without a bucket: some texts' ids, their numbers of pre-tokens (pieces), and the pre-tokens' numbers in order (the positions);
+#: and one row without ids for the block, which has for each bucket how many of the block's words are in it, and their numbers, each as the step from the one before.
+#: With a bucket: the block's words of that bucket, and their lengths.
+CUT = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("pieces", pa.binary()), ("stream", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary())])
+CUT_DDL = "block long, bucket int, ids array<long>, pieces binary, stream binary, sizes binary, words binary"
 
 
-def _cut_blocks(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[pa.RecordBatch]:
+def _cut_blocks(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int, most: int) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3).compress
-    for name, block in _blocks(batches, pattern):
+    for name, block in _blocks(batches, pattern, most):
         number, places = block.distinct()
         words = block.words(places)
         at = 0
         for ids, counts, *_ in block.parts:
             total = int(counts.sum())
-            yield pa.RecordBatch.from_pylist([{"block": name, "ids": ids.to_pylist(), "numbers": _packed(number[at : at + total]), "counts": _packed(counts)}], CUT)
+            yield pa.RecordBatch.from_pylist([{"block": name, "ids": ids.to_pylist(), "pieces": _packed(counts), "stream": _packed(number[at : at + total])}], CUT)
             at += total
         block.parts.clear()
         bucket = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in words), np.int64, len(words))
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = []
+        steps = np.diff(order, prepend=0)
+        first = edges[:-1][edges[:-1] < edges[1:]]
+        steps[first] = order[first]
+        rows = [{"block": name, "pieces": _packed(np.diff(edges)), "stream": _packed(steps)}]
         for b in range(buckets):
             own = order[edges[b] : edges[b + 1]]
             if len(own):
                 held = [words[i] for i in own.tolist()]
-                rows.append({"block": name, "bucket": b, "numbers": _packed(np.diff(own, prepend=0)), "counts": _packed(np.fromiter(map(len, held), np.int64, len(held))), "words": pack(b"".join(held))})
+                rows.append({"block": name, "bucket": b, "sizes": _packed(np.fromiter(map(len, held), np.int64, len(held))), "words": pack(b"".join(held))})
         yield pa.RecordBatch.from_pylist(rows, CUT)
     release()
 
@@ -241,7 +247,7 @@ def _encode_words(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pa
                 known.clear()
             data = unpack(row["words"])
             flat, counts, at = [], [], 0
-            for end in np.cumsum(_unpacked(row["counts"])).tolist():
+            for end in np.cumsum(_unpacked(row["sizes"])).tolist():
                 word = data[at:end]
                 at = end
                 ids = known.get(word)
@@ -249,8 +255,8 @@ def _encode_words(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pa
                     ids = known[word] = encode(word.decode())
                 flat += ids
                 counts.append(len(ids))
-            out = [pa.array([row["block"]], pa.int64()), pa.array([row["numbers"]], pa.binary()), pa.array([_packed(np.array(counts))], pa.binary()), pa.array([_packed(np.array(flat, np.int64))], pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, ["block", "numbers", "counts", "ids"])
+            out = [pa.array([row["block"]], pa.int64()), pa.array([bucket], pa.int32()), pa.array([_packed(np.array(counts))], pa.binary()), pa.array([_packed(np.array(flat, np.int64))], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, ["block", "bucket", "counts", "ids"])
     release()
 
 
@@ -263,18 +269,24 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
     """A block's texts as token ids: the words' ids, put where the positions say."""
+    rows = docs.to_pylist()
+    dealt = next(r for r in rows if r["ids"] is None)
+    ends, steps = np.cumsum(_unpacked(dealt["pieces"])), _unpacked(dealt["stream"])
     numbers, counts, ids = [], [], []
     for row in words.to_pylist():
-        numbers.append(np.cumsum(_unpacked(row["numbers"])))
+        end = ends[row["bucket"]]
         counts.append(_unpacked(row["counts"]))
+        numbers.append(np.cumsum(steps[end - len(counts[-1]) : end]))
         ids.append(_unpacked(row["ids"]).astype(np.int32))
     none = np.zeros(0, np.int64)
     number, count, flat = np.concatenate(numbers or [none]), np.concatenate(counts or [none]), np.concatenate(ids or [none.astype(np.int32)])
     starts, sizes = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
     starts[number], sizes[number] = np.cumsum(count) - count, count
     names, tokens, lengths = [], [], []
-    for row in docs.to_pylist():
-        stream, pieces = _unpacked(row["numbers"]), _unpacked(row["counts"])
+    for row in rows:
+        if row["ids"] is None:
+            continue
+        stream, pieces = _unpacked(row["stream"]), _unpacked(row["pieces"])
         tokens.append(flat[spread(starts[stream], sizes[stream])])
         upto = np.concatenate([[0], np.cumsum(sizes[stream])])[np.concatenate([[0], np.cumsum(pieces)])]
         lengths.append(np.diff(upto))
@@ -285,7 +297,7 @@ def _assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(names, pa.int64()), "token_ids": lists})
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, token_ids``: every whole text as token ids, one row per input row.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Null counts as empty and gives an empty
@@ -299,15 +311,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def cut_of(batches):
-        return _cut_blocks(batches, pattern, 4 * tasks)
+        return _cut_blocks(batches, pattern, 4 * tasks, block_bytes)
 
     def ids_of(batches):
         return _encode_words(batches, ranks.value, pattern)
 
     held = stash_bucketed(base.mapInArrow(cut_of, CUT_DDL), "block")
-    asked = held.where("bucket is not null").select("bucket", "block", "numbers", "counts", "words")
-    told = asked.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(ids_of, "block long, numbers binary, counts binary, ids binary")
-    texts = held.where("bucket is null").select("block", "ids", "numbers", "counts")
+    asked = held.where("bucket is not null").select("bucket", "block", "sizes", "words")
+    told = asked.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(ids_of, "block long, bucket int, counts binary, ids binary")
+    texts = held.where("bucket is null").select("block", "ids", "pieces", "stream")
     return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_assemble, "doc_id long, token_ids array<int>")
 
 
@@ -326,9 +338,10 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
                 lists = batch.column(1)
                 ids = lists.flatten().to_numpy(zero_copy_only=False)
                 counts = np.array([len(x) if x is not None else 0 for x in lists], np.int64) if lists.null_count else np.diff(lists.offsets.to_numpy())
-                out = data[spread(begin[ids], length[ids])]
+                # some tokens at a time: the index of every byte needs many times the bytes
+                parts = [data[spread(begin[x], length[x])] for x in np.split(ids, range(TOKENS, len(ids), TOKENS))]
                 sizes = np.concatenate([[0], np.cumsum(length[ids])])[np.concatenate([[0], np.cumsum(counts)])]
-                decoded = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(sizes.astype(np.int32)), pa.py_buffer(out)])
+                decoded = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(sizes.astype(np.int32)), pa.py_buffer(np.concatenate(parts))])
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists, decoded], ["doc_id", "token_ids", "decoded"])
         release()
 

@@ -32,12 +32,11 @@ def test_bpe(spark, library):
     assert bpe.PATTERN == public_tokenizers.PATTERN
 
 
-def test_bpe_many_blocks_and_other_patterns(spark, library, monkeypatch):
-    monkeypatch.setattr(bpe, "BLOCK_BYTES", 2000)
+def test_bpe_many_blocks_and_other_patterns(spark, library):
     df = spark.createDataFrame(cases.sample()[:30], cases.SCHEMA)
     want = {k: library.encode_ordinary(t) for k, t, *_ in cases.sample()[:30]}
     for pattern in (public_tokenizers.PATTERN, "(?:" + public_tokenizers.PATTERN + ")"):
-        assert {r.doc_id: r.token_ids for r in bpe.encode(df, RANKS, pattern).collect()} == want
+        assert {r.doc_id: r.token_ids for r in bpe.encode(df, RANKS, pattern, block_bytes=2000).collect()} == want
 
 
 def test_bpe_tells_words_apart_that_collide_in_polynomial_hashes(spark, library):
@@ -302,6 +301,28 @@ def test_quality(spark):
     assert quality.quality_scores(cases.empty(spark), labels).count() == 0
 
 
+def test_quality_is_the_dense_solution(spark):
+    """Statistics, standardisation, normal equations and calibration of all labelled rows, on one machine."""
+    docs, labels = tables(spark, "sf0.001")
+    model = quality.fit(docs.select(quality.F.col("doc_id"), "text").mapInArrow(quality._scan, "doc_id long, stats array<float>"), labels)
+    y = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect() if r.doc_id in y]
+    fold = np.array([zlib.crc32(str(k).encode()) % 4 for k, _ in rows])
+    x = quality.statistics([t for _, t in rows], quality.WordHashes()).astype(np.float32).astype(float)
+    target = np.array([float(y[k]) for k, _ in rows])
+    own = (fold == 0) | (fold == 1)
+    mean, scale = x[own].mean(0), x[own].std(0) + 1e-3
+    assert model.mean == pytest.approx(mean, abs=1e-5) and model.scale == pytest.approx(scale, abs=1e-4)
+    rng = np.random.default_rng(quality.SEED)
+    w, b = rng.normal(0, 1 / quality.SIGMA, (quality.N_STATS, quality.FEATURES)), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = np.hstack([np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((x - mean) / scale, -8, 8) @ w + b), np.ones((len(x), 1))])
+    weights = np.linalg.solve(z[own].T @ z[own] + quality.RIDGE * own.sum() * np.eye(quality.FEATURES + 1), z[own].T @ target[own])
+    raw = np.clip(z @ weights, -0.5, 1.5)
+    assert model.raw(x) == pytest.approx(raw, abs=2e-3)
+    scores = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
+    assert [scores[k] for k, _ in rows] == pytest.approx(list(model.score(x)), abs=1e-6)
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.arange(6.0), np.array([0, 1, 0, 0, 1, 1.0]), np.ones(6))
     assert (np.diff(y) > 0).all() and y[0] == 0 and y[-1] == 1
