@@ -6,11 +6,12 @@ logistic output scores the window. A text's score comes from its highest window;
 overlap their neighbours and all are scored. What a word adds to the gates before recurrence is computed once per distinct
 word of a batch.
 
-Training runs on the driver over a bounded sample of labelled rows (``SAMPLE`` per class).
+Training runs in one task over a bounded sample of labelled rows (``SAMPLE`` per class), which never reaches the driver.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import chunks, crc_bucket, drop_stash, mixed, small_batches, stash
+from loomline.llm.common import chunks, crc_bucket, drop_stash, mixed, release, small_batches, stash
 
 #: Labelled texts per class that are used at most for training, in a fixed pseudo-random order of ids.
 SAMPLE = 3000
-#: Labelled rows with longer texts are not picked for the sample; the driver holds the sample's whole texts.
+#: Labelled rows with longer texts are not picked for the sample; the task that trains holds the sample's whole texts.
 SAMPLE_CHARS = 50_000
 HELD_OUT, MODULUS = 0, 5
 #: Words of a window, and words from one window's start to the next.
@@ -55,9 +56,16 @@ class Vocabulary:
         return np.fromiter((get(w, len(self.number)) for w in words), np.int64, len(words))
 
     def inputs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word rows; n-gram rows, and where each word's n-grams begin."""
-        words = [w.lower().strip(_EDGE) for w in self.number]
-        rows = np.fromiter((xxhash.xxh32_intdigest(w) % WORD_ROWS for w in words), np.int64, len(words))
+        """Word rows; n-gram rows, and where each word's n-grams begin. A slice of words at a time bounds what is held besides."""
+        words = list(self.number)
+        parts = [self._inputs(words[i : i + 20_000]) for i in range(0, max(1, len(words)), 20_000)]
+        rows, grams, counts = (np.concatenate(x) for x in zip(*parts))
+        return rows, grams, np.concatenate([[0], np.cumsum(counts)])
+
+    @staticmethod
+    def _inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words = [w.lower().strip(_EDGE) for w in words]
+        rows = np.fromiter((xxhash.xxh32_intdigest(w) % WORD_ROWS for w in words), np.int32, len(words))
         marked = [b"^" + w + b"$" for w in words]
         size = np.fromiter(map(len, marked), np.int64, len(marked))
         data = np.concatenate([np.frombuffer(b"".join(marked), np.uint8), np.zeros(4, np.uint8)]).astype(np.uint64)
@@ -70,11 +78,11 @@ class Vocabulary:
             for i in range(k):
                 value = value * np.uint64(257) + data[i : n + i]
             whole = left >= k
-            grams.append((mixed(value[whole]) % np.uint64(GRAM_ROWS)).astype(np.int64))
+            grams.append((mixed(value[whole]) % np.uint64(GRAM_ROWS)).astype(np.int32))
             owner.append(word[whole])
         grams, owner = np.concatenate(grams), np.concatenate(owner)
         order = np.argsort(owner, kind="stable")
-        return rows, grams[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
+        return rows, grams[order], np.bincount(owner, minlength=len(words))
 
 
 def windows_of(n: int) -> np.ndarray:
@@ -330,13 +338,26 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows
 
 
+def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled parameters of the network that the task's rows train."""
+    rows = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("weight", pa.float64()), ("text", pa.string())])).sort_by("doc_id")
+    texts, toxic, weight = rows["text"].cast(pa.binary()).to_pylist(), rows["toxic"].to_numpy().astype(np.int64), rows["weight"].to_numpy()
+    del rows
+    net = train(texts, toxic, weight)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((net.p, net.scale))], pa.binary())], ["model"])
+    release()
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
-    """Train on the texts of ``training_rows``."""
+    """Train on the texts of ``training_rows``, in one task; only the parameters reach the driver."""
     small_batches(docs.sparkSession)
     held = training_rows(docs, labels)
-    rows = held.toArrow().sort_by("doc_id")
+    found = held.select("doc_id", "toxic", "weight", "text").coalesce(1).mapInArrow(_train_task, "model binary").collect()
     drop_stash(held)
-    return train(rows["text"].cast(pa.binary()).to_pylist(), rows["toxic"].to_numpy().astype(np.int64), rows["weight"].to_numpy())
+    net = Network()
+    if found:
+        net.p, net.scale = pickle.loads(found[0].model)  # noqa: S301  made by the task above
+    return net
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
