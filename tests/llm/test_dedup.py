@@ -67,7 +67,17 @@ def test_exact(spark):
     assert Counter(map(tuple, got)) == want
     assert exact.exact_dedup(cases.empty(spark)).count() == 0
     kept = exact.drop_exact_copies(cases.frame(spark))
-    assert kept.columns == cases.frame(spark).columns and kept.count() == sum(r.kept for r in got)
+    assert kept.columns == cases.frame(spark).columns and Counter(r.doc_id for r in kept.collect()) == Counter(top for top in {r.keep_id: 1 for r in got})
+    assert exact.drop_exact_copies(cases.empty(spark)).collect() == []
+
+
+def test_exact_tells_texts_apart_that_share_head_and_hash(spark, monkeypatch):
+    monkeypatch.setattr(exact, "HEAD", 0)
+    monkeypatch.setattr(exact, "HOT_ROWS", 2)
+    monkeypatch.setattr(exact.F, "xxhash64", lambda *c: exact.F.lit(7).cast("long"))
+    data = [(i, f"text {i % 5}") for i in range(40)] + [(None, "text 1"), (None, None)]
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {(i, 35 + i % 5, 8 + (i % 5 == 1), i >= 35) for i in range(40)} | {(None, 36, 9, False), (None, None, 1, True)}
 
 
 def test_exact_spreads_many_copies(spark):
@@ -106,11 +116,27 @@ def test_line_store_reports_new_hashes_and_compacts(spark):
     batch = lambda *ids: spark.createDataFrame([(h, h, d) for h, d in ids], "h1 long, h2 long, doc_id long")
     new = [sorted(r.h1 for r in store.add(batch(*b)).collect()) for b in (((1, 9), (2, 9)), ((2, 8), (3, 8)), ((1, 7), (4, 7)))]
     assert new == [[1, 2], [3], [4]]
+    assert len(store.again) == 2
     store.compact()
     assert [len(x) for x in store.levels] == [0, 1]
     assert sorted(map(tuple, store.table().collect())) == [(1, 1, 2, 9), (2, 2, 2, 9), (3, 3, 1, 8), (4, 4, 1, 7)]
 
 
+def test_runs_are_joined_without_shuffle_or_sort(spark):
+    store = lines.RunStore(spark, fan=9)
+    for k in (3, 2):
+        store.add(spark.range(200).selectExpr("id * 7919 as h1", "id * 31 as h2", f"{k}L as doc_id"))
+    run, other = store.runs()
+    plan = run.hint("merge").join(other.select(*lines.HASH), lines.HASH, "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan and other.count() == 0
+
+
+def test_many_lost_lines_are_linear(spark):
+    many = [f"line number {i} that stands in all documents" for i in range(20_000)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, len(r.kept_text)) for r in lines.line_dedup(spark.createDataFrame([(i, "\n".join(many)) for i in range(3)], "doc_id long, text string")).collect()}
+    assert got == {0: (20_000, 20_000, 0), 1: (20_000, 20_000, 0), 2: (20_000, 0, len("\n".join(many)))}
+
+
 def brute_near(data):
     sets = {}
     for k, t, *_ in data:
@@ -148,8 +174,43 @@ def test_near(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("center", [True, False])
+def test_near_copies_of_one_text_are_sent_a_few_times(spark, monkeypatch, center):
+    """A family of near copies, with the text that they all come from or without it, and another that is like both but linked with neither."""
+    rng = np.random.default_rng(5)
+    n, base = 1500, [f"w{i}" for i in range(200)]
+    data = [(n, " ".join(base))] if center else []
+    for i in range(n):
+        w = list(base)
+        for j in rng.choice(len(w), 3 if center else 2, replace=False):
+            w[j] = f"x{i}_{j}"
+        data.append((i, " ".join(w)))
+    other = [f"w{i}" if i < 150 else f"v{i}" for i in range(200)]
+    data += [(5000 + i, " ".join([*other, f"end{i}"])) for i in range(20)]
+    sent, write = [], near.stash
+
+    def recorded(df, *args, **more):
+        out = write(df, *args, **more)
+        if {"is_anchor", "other"} & set(df.columns):
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "stash", recorded)
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {k: 5000 if k >= 5000 else 0 for k, _ in data}
+    assert sum(sent) <= 4 * len(data)
+
+
+def test_shingles_that_share_leading_bits_are_told_apart(monkeypatch):
+    values = iter([7, 7 + 1, 7] * 2)
+    monkeypatch.setattr(near, "mixed", lambda x: x)
+    monkeypatch.setattr(near, "hashed_words", lambda texts, known: (np.fromiter((next(values) for _ in range(3)), np.uint64, 3), np.array([0, 3])))
+    monkeypatch.setattr(near, "SHINGLE", 1)
+    value, begins = near.shingle_sets([b"a b a"], None)
+    assert len(value) == 2 and list(begins) == [0, 2]
+
+
 def test_near_in_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near, "BLOCK", 400)
     monkeypatch.setattr(near, "BLOCK_DOCS", 4)
     data = [(i, " ".join(f"w{j}" if j != i else "x" for j in range(100))) for i in range(40)]
     got = {r.doc_id: r.component_id for r in near.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
@@ -164,7 +225,11 @@ def test_near_takes_awkward_rows(spark):
     assert len(got) == len(cases.rows())
     assert by[3] == {(3, True)} and by[4] == {(4, True)} and by[2] == {(1, False)} and by[7] == {(6, False)} and by[None] == {(None, True)} and by[10] == {(9, False)}
     assert near.near_duplicates(cases.empty(spark)).count() == 0
-    assert near.drop_near_copies(cases.frame(spark)).columns == cases.frame(spark).columns
+    kept = near.drop_near_copies(cases.frame(spark))
+    assert kept.columns == cases.frame(spark).columns
+    texts = {(k, t) for k, t, *_ in cases.rows() if (k, True) in {(r.doc_id, r.kept) for r in got}}
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(texts)
+    assert near.drop_near_copies(cases.empty(spark)).collect() == []
 
 
 def test_superminhash_estimates_similarity():
