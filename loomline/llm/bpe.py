@@ -307,11 +307,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = BL
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     small_batches(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    # words spread evenly over as many tasks as a shuffle has, a few buckets to each
+    # words spread evenly over as many tasks as a shuffle has
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def cut_of(batches):
-        return _cut_blocks(batches, pattern, 4 * tasks, block_bytes)
+        return _cut_blocks(batches, pattern, tasks, block_bytes)
 
     def ids_of(batches):
         return _encode_words(batches, ranks.value, pattern)
