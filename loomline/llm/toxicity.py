@@ -338,14 +338,19 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows
 
 
-def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pickled parameters of the network that the task's rows train."""
+def _trained(batches: Iterator[pa.RecordBatch]) -> bytes:
+    """The pickled parameters of the network that the rows train."""
     rows = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("weight", pa.float64()), ("text", pa.string())])).sort_by("doc_id")
     texts, toxic, weight = rows["text"].cast(pa.binary()).to_pylist(), rows["toxic"].to_numpy().astype(np.int64), rows["weight"].to_numpy()
     del rows
     net = train(texts, toxic, weight)
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((net.p, net.scale))], pa.binary())], ["model"])
-    release()
+    return pickle.dumps((net.p, net.scale))
+
+
+def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    model = _trained(batches)
+    release()  # nothing of the sample is held any more
+    yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
