@@ -27,17 +27,19 @@ def chronology(events: DataFrame, taxonomies: DataFrame | None = None) -> DataFr
 
     ``taxonomies(doc_id, taxonomy)`` gives each document's stages; documents without use the default ones.
     """
+    # before the join, so that it need not move the texts
+    hinted = says_any(F.concat_ws(" ", F.coalesce("event_name", F.lit("")), F.coalesce("core_event", F.lit(""))), FRAME_HINTS)
+    events = events.withColumn("_hinted", hinted)
     if taxonomies is not None:
         own = taxonomies.select("doc_id", stages.normalize(F.col("taxonomy")).alias("tax"), (F.size("taxonomy") > 0).alias("has"))
         x = events.join(own, "doc_id", "left").withColumn("tax", F.when(F.col("has"), F.col("tax")).otherwise(stages.default_stages(framing=False))).drop("has")
     else:
         x = events.withColumn("tax", stages.default_stages(framing=False))
     x = x.withColumn("source_pages", clean_pages(F.col("source_pages")))
-    hinted = says_any(F.concat_ws(" ", F.coalesce("event_name", F.lit("")), F.coalesce("core_event", F.lit(""))), FRAME_HINTS)
-    x = x.withColumns({"first_page": F.coalesce(F.try_element_at("source_pages", F.lit(1)), F.lit(0)), "timeline_anchor": F.when(hinted, frame_target(F.col("tax"))).otherwise(F.col("timeline_anchor"))})
+    x = x.withColumns({"first_page": F.coalesce(F.try_element_at("source_pages", F.lit(1)), F.lit(0)), "timeline_anchor": F.when(F.col("_hinted"), frame_target(F.col("tax"))).otherwise(F.col("timeline_anchor"))})
     names = stages.names(F.col("tax"))
     x = x.withColumn("stage_order", stages.stage_index(F.col("timeline_anchor"), names))
-    x = x.withColumn("stage_name", F.try_element_at(names, F.col("stage_order") + 1)).drop("tax")
+    x = x.withColumn("stage_name", F.try_element_at(names, F.col("stage_order") + 1)).drop("tax", "_hinted")
     return ranked(x)
 
 
